@@ -13,6 +13,8 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes of ASCII that are neither letters nor digits.
+MARKS = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -85,9 +87,9 @@ def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 20) -> I
 class Words:
     """Words of a block: ``start``, ``end`` (byte offsets), ``doc`` (row), ``first`` (index of each row's first word)."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, gap: np.ndarray = SPACE):
         self.data, self.off = data, off
-        inside = ~SPACE[data]
+        inside = ~gap[data]
         start, last = inside.copy(), inside.copy()
         start[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
