@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, quality_rules
+from . import decontaminate, near_dedup, quality_rules, token_shards
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,16 @@ def op2_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_re_pair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.token_shards(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.quality_rules(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_ppl", "lower", "upper")
@@ -48,6 +58,7 @@ FROM s LEFT JOIN least_of ON s.doc_id = least_of.x
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_greedy_string_tiling": op2_greedy_string_tiling,
+        "op3_re_pair_shards": op3_re_pair_shards,
         "op4_quality_rules": op4_quality_rules,
         "op9_min_max_hashing": op9_min_max_hashing,
     }
