@@ -119,7 +119,9 @@ class Items:
 
 
 def _runs(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if row.size else np.zeros(0, int)
+    if not row.size:
+        return row, row, row
+    start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
     return row[start], start, np.append(start[1:], row.size)
 
 
