@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, quality_rules, token_shards
+from . import decontaminate, mixing, near_dedup, quality_rules, secrets, token_shards
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"), secrets.train(secrets.builtin_samples(spark)))
+
+
 def op2_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -62,6 +66,7 @@ FROM s LEFT JOIN least_of ON s.doc_id = least_of.x
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_markov_secrets": op1_markov_secrets,
         "op2_greedy_string_tiling": op2_greedy_string_tiling,
         "op3_re_pair_shards": op3_re_pair_shards,
         "op4_quality_rules": op4_quality_rules,
