@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, quality_rules, secrets, token_shards
+from . import decontaminate, mixing, near_dedup, quality_rules, secrets, token_shards, url_filters
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,6 +64,10 @@ FROM s LEFT JOIN least_of ON s.doc_id = least_of.x
 """
 
 
+def op10_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_markov_secrets": op1_markov_secrets,
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op6_entropy_balancing": op6_entropy_balancing,
         "op9_min_max_hashing": op9_min_max_hashing,
+        "op10_association_rules": op10_association_rules,
     }
 
 
