@@ -24,6 +24,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textkit import blocks, buffers, per_row, prefix_hash, span_hash
+from .textkit import HashArray, blocks, buffers, per_row, prefix_hash, span_hash
 
 END = 0
 SHARD = "part int, shard int, part_start long, n_ids long, payload binary"
@@ -59,20 +60,22 @@ def _replace(symbols: np.ndarray, base: int, least: int, room: int) -> tuple[np.
     if not often.size:
         return symbols, none
     pairs = ordered[edge[often]]
-    slot = lambda k: ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
-    table = np.zeros(1 << 21, bool)
-    table[slot(pairs)] = True
-    at = np.flatnonzero(table[slot(key)])
-    rule = np.searchsorted(pairs, key[at])
-    hit = pairs[np.minimum(rule, pairs.size - 1)] == key[at]
-    at, rule = at[hit], rule[hit]
+    slot = lambda k: ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+    table = np.full(1 << 18, pairs.size, np.int32)  # of pairs in one slot the most frequent stays
+    rising = np.argsort(count[often], kind="stable").astype(np.int32)
+    table[slot(pairs[rising])] = rising
+    rule = table[slot(key)]
+    at = np.flatnonzero(np.append(pairs, ~key[:1])[rule] == key)
+    rule = rule[at]
+    at, rule = at[rule < pairs.size], rule[rule < pairs.size]
     run = np.cumsum(np.concatenate(([True], at[1:] != at[:-1] + 1))) - 1 if at.size else at  # overlapping hits: every other one
     head = np.searchsorted(run, np.arange(run[-1] + 1)) if at.size else at
     use = (np.arange(at.size) - head[run]) % 2 == 0
     at, rule = at[use], rule[use]
-    used, rule = np.unique(rule, return_inverse=True)
+    hits = np.bincount(rule, minlength=pairs.size) > 0
+    used = np.flatnonzero(hits)
     out = symbols.copy()
-    out[at] = (base + rule).astype(_U32)
+    out[at] = (base + (np.cumsum(hits) - 1)[rule]).astype(_U32)
     keep = np.ones(symbols.size, bool)
     keep[at + 1] = False
     left = (pairs[used] >> (_U32(16) if narrow else np.uint64(32))).astype(_U32)
@@ -80,7 +83,7 @@ def _replace(symbols: np.ndarray, base: int, least: int, room: int) -> tuple[np.
     return out[keep], np.stack([left, right], 1)
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = 5, least: int = 24) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, rounds: int = 3, least: int = 24) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule ``i`` is symbol ``base + i`` and refers to smaller symbols."""
     symbols, rules = ids.astype(_U32), [np.zeros((0, 2), _U32)]
     made = 0
@@ -214,7 +217,7 @@ def pieces(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Encoder:
     """The tokenizer with the ids of pieces seen before; ``most`` bounds what is held."""
 
-    def __init__(self, spec: str, most: int = 600_000):
+    def __init__(self, spec: str, most: int = 2_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -224,8 +227,40 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[int, int] = {}
-        self.ids, self.start, self.size = np.zeros(0, _U32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.old, self.new = HashArray(*none), HashArray(*none)  # hash of a piece: its number
+        self.ids, self.start, self.size, self.used = np.zeros(1 << 20, _U32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 0
+        self.n = 0
+
+    @staticmethod
+    def _grown(held: np.ndarray, n: int) -> np.ndarray:
+        return held if n <= held.size else np.concatenate((held, np.zeros(max(n, 2 * held.size) - held.size, held.dtype)))
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        codes = np.full(hashes.size, -1, np.int64)
+        for table in (self.old, self.new):
+            left = np.flatnonzero(codes < 0)
+            at = table.find(hashes[left])
+            codes[left[at >= 0]] = table.values[0][at[at >= 0]]
+        return codes
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Encode new pieces and return their numbers."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, lists), np.int32, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), _U32, int(size.sum()))
+        codes = np.arange(self.n, self.n + size.size)
+        self.ids = self._grown(self.ids, self.used + flat.size)
+        self.start, self.size = self._grown(self.start, self.n + size.size), self._grown(self.size, self.n + size.size)
+        self.ids[self.used : self.used + flat.size] = flat
+        self.start[codes] = self.used + np.cumsum(size) - size
+        self.size[codes] = size
+        self.used, self.n = self.used + flat.size, self.n + size.size
+        self.new = HashArray(np.concatenate((self.new.keys, hashes)), np.concatenate((self.new.values[0], codes)))
+        if self.new.keys.size > 300_000:
+            self.old = HashArray(np.concatenate((self.old.keys, self.new.keys)), np.concatenate((self.old.values[0], self.new.values[0])))
+            self.new = HashArray(self.new.keys[:0], self.new.values[0][:0])
+        return codes
 
     def rows(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, an end id after each, and their number for each row."""
@@ -233,26 +268,18 @@ class Encoder:
         first = np.searchsorted(begin, off)
         end = np.append(begin[1:], data.size)
         if begin.size:  # a piece ends with its row
-            row_end = off[np.searchsorted(off, begin, "right")]
-            end = np.minimum(end, row_end)
+            end = np.minimum(end, np.repeat(off[1:], np.diff(first)))
         hashes, where, inverse = np.unique(span_hash(prefix_hash(data), begin, end), return_index=True, return_inverse=True)
-        if len(self.code) + hashes.size > self.most:
+        if self.n + hashes.size > self.most:
             self.clear()
-        known = self.code
-        codes = np.array([known.get(h, -1) for h in hashes.tolist()], np.int64)
+        codes = self._find(hashes)
         missing = np.flatnonzero(codes < 0)
         if missing.size:
             raw = data.tobytes()
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[where[missing]].tolist(), end[where[missing]].tolist(), strict=True)]
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            size = np.fromiter(map(len, lists), np.int64, len(lists))
-            codes[missing] = np.arange(self.size.size, self.size.size + missing.size)
-            known.update(zip(hashes[missing].tolist(), codes[missing].tolist(), strict=True))
-            self.start = np.concatenate((self.start, self.ids.size + np.cumsum(size) - size))
-            self.size = np.concatenate((self.size, size))
-            self.ids = np.concatenate((self.ids, np.fromiter((i for x in lists for i in x), _U32, int(size.sum()))))
+            codes[missing] = self._learn(hashes[missing], texts)
         code = codes[inverse]
-        size = self.size[code]
+        size = self.size[code].astype(np.int64)
         ends = np.cumsum(size)
         total = int(ends[-1]) if size.size else 0
         flat = self.ids[np.repeat(self.start[code] - (ends - size), size) + np.arange(total)] if total else np.zeros(0, _U32)
@@ -288,7 +315,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 <<
             return out
 
         for batch in batches:
-            for block in blocks(batch, limit=1 << 21):
+            for block in blocks(batch, limit=1 << 22):
                 ids, counts = encoder.rows(*buffers(block.column(1)))
                 held.append((ids, counts, block.column(0).to_pylist()))
                 waiting += ids.size
