@@ -237,6 +237,16 @@ def text_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def _scores(block: pa.RecordBatch, model: KneserNey) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Counts, characters and log perplexity a character of the rows of a block of one language."""
+    data, off = buffers(block.column(block.schema.get_field_index("text")))
+    counts = text_counts(data, off)
+    key, first = grams(data, off)
+    n, row = np.diff(first), np.repeat(np.arange(first.size - 1), np.diff(first))
+    score = -np.bincount(row, model.log_prob(key), first.size - 1) if key.size else np.zeros(first.size - 1)
+    return counts, n, score / np.maximum(n, 1)
+
+
 def judge(docs: DataFrame, models: dict[str, KneserNey]) -> DataFrame:
     """Base counts and log perplexity a character (null without characters) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
@@ -244,15 +254,9 @@ def judge(docs: DataFrame, models: dict[str, KneserNey]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, rows in _by_language(batch):
-                model = shared.value.get(name)
                 for block in blocks(rows):
-                    data, off = buffers(block.column(block.schema.get_field_index("text")))
-                    counts = text_counts(data, off)
-                    key, first = grams(data, off)
-                    row = np.repeat(np.arange(first.size - 1), np.diff(first))
-                    score = -np.bincount(row, model.log_prob(key), first.size - 1) if key.size else np.zeros(first.size - 1)
-                    n = np.diff(first)
-                    ppl = pa.array(score / np.maximum(n, 1), mask=n == 0)
+                    counts, n, ppl = _scores(block, shared.value.get(name))
+                    ppl = pa.array(ppl, mask=n == 0)
                     yield pa.RecordBatch.from_arrays([block.column(block.schema.get_field_index("doc_id")), pa.array([name] * block.num_rows), *[pa.array(counts[c].astype(np.int64)) for c in COUNTS.names[2:8]], ppl], COUNTS.names)
 
     return docs.select("doc_id", "lang", "text").mapInArrow(run, COUNTS)
@@ -266,11 +270,35 @@ def bands(counts: DataFrame, width: float = 8.0, least: float = 0.8) -> DataFram
     return q.select("lang", (F.col("q")[1] - side(F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + side(F.col("q")[2] - F.col("q")[1])).alias("upper"))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, width: float = 8.0, least: float = 0.8, max_entries: int = 16_000_000) -> DataFrame:
-    """One row a document: counts, perplexity, band and ``kept``."""
+def _judged(docs: DataFrame, min_words: int, max_repeat_percent: int, max_entries: int) -> tuple[DataFrame, dict[str, KneserNey]]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = scratch.stage(judge(docs, fit(docs, max_entries)), "rules")
+    models = fit(docs, max_entries)
+    counts = scratch.stage(judge(docs, models), "rules")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    counts = counts.withColumn("base_failed", failed)
+    return counts.withColumn("base_failed", failed), models
+
+
+def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, width: float = 8.0, least: float = 0.8, max_entries: int = 16_000_000) -> DataFrame:
+    """One row a document: counts, perplexity, band and ``kept``."""
+    counts, _ = _judged(docs, min_words, max_repeat_percent, max_entries)
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True))
     return counts.join(bands(counts, width, least), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
+
+
+def passing(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, width: float = 8.0, least: float = 0.8, max_entries: int = 16_000_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps; no text is shuffled."""
+    counts, models = _judged(docs, min_words, max_repeat_percent, max_entries)
+    band = {r.lang: (r.lower, r.upper) for r in bands(counts, width, least).collect()}  # a row a language
+    shared = docs.sparkSession.sparkContext.broadcast((models, band))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, band = shared.value
+        for batch in batches:
+            for name, rows in _by_language(batch):
+                for block in blocks(rows):
+                    c, n, ppl = _scores(block, models.get(name))
+                    low, high = band.get(name, (-np.inf, np.inf))
+                    keep = (c["n_words"] >= min_words) & (100 * c["n_repeat_words"] <= max_repeat_percent * c["n_words"]) & ((n == 0) | ((ppl >= low) & (ppl <= high)))
+                    yield block.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -54,8 +54,14 @@ def release(spark: SparkSession, since: int = 0) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def drop(spark: SparkSession, df_path: str) -> None:
-    if df_path in _OPEN:
-        _OPEN.remove(df_path)
-        path = spark._jvm.org.apache.hadoop.fs.Path(df_path).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def keep(path: str) -> None:
+    """Leave a path to ``drop``: ``release`` passes it over."""
+    _OPEN.remove(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete one path from ``new_path``."""
+    if path in _OPEN:
+        _OPEN.remove(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
