@@ -292,6 +292,15 @@ class Encoder:
 _ENCODERS: dict[int, Encoder] = {}
 
 
+def encoder_of(spec: str) -> Encoder:
+    """The encoder of this worker process: it keeps known pieces from task to task."""
+    key = hash(spec)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(spec)
+    return _ENCODERS[key]
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 << 20) -> str:
     """Write the shards of ``docs`` and return their path."""
     spark = docs.sparkSession
@@ -299,8 +308,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 <<
         spec = spark.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(hash(spec.value), None) or Encoder(spec.value)
-        _ENCODERS[hash(spec.value)] = encoder
+        encoder = encoder_of(spec.value)
         part = TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray, list]] = []
         waiting = number = done = 0
