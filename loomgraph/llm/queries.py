@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, quality_rules, secrets, token_shards, url_filters
+from . import decontaminate, mixing, near_dedup, quality_classifier, quality_rules, secrets, token_shards, url_filters
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_ppl", "lower", "upper")
 
 
+def op5_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(mixing.sized(read(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_greedy_string_tiling": op2_greedy_string_tiling,
         "op3_re_pair_shards": op3_re_pair_shards,
         "op4_quality_rules": op4_quality_rules,
+        "op5_co_training": op5_co_training,
         "op6_entropy_balancing": op6_entropy_balancing,
         "op9_min_max_hashing": op9_min_max_hashing,
         "op10_association_rules": op10_association_rules,
