@@ -161,7 +161,7 @@ def _by_hash(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
-def classify(docs: DataFrame, labels: DataFrame, rounds: int = 2, exchange: int = 400, most_labelled: int = 8000, threshold: float = 0.3) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, rounds: int = 2, exchange: int = 100, most_labelled: int = 8000, threshold: float = 0.3) -> DataFrame:
     """(doc_id, word_score, meta_score, score, kept) of each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     named = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
