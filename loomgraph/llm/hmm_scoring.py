@@ -70,7 +70,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(e.astype(np.int32)), pa.array(n)], ["h", "ending", "n"])
 
         for batch in batches:
-            for block in blocks(batch, limit=1 << 22):
+            for block in blocks(batch, limit=1 << 20):
                 h, e, _ = _words(block)
                 held.append(merged([(h, e, np.ones(h.size, np.int64))]))
                 if len(held) == 4:
@@ -183,7 +183,7 @@ def baum_welch(docs: DataFrame, model: Model, steps: int) -> Model:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = np.zeros(SIZE)
             for batch in batches:
-                for block in blocks(batch, limit=1 << 21):
+                for block in blocks(batch, limit=1 << 20):
                     cls, first, n, _ = _sequences(shared.value, block)
                     pieces = (n + SEGMENT - 1) // SEGMENT
                     piece = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -239,7 +239,7 @@ def score(docs: DataFrame, steps: int = 3, most_held: int = 2_000_000) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table, room = shared.value
         for batch in batches:
-            for block in blocks(batch, limit=1 << 22):
+            for block in blocks(batch, limit=1 << 20):
                 cls, first, n, at = _sequences(model, block)
                 row = np.repeat(np.arange(n.size), n)
                 h, _, words = _words(block)

@@ -39,7 +39,7 @@ _POW: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, modulo 2**64."""
     if not _POW or _POW[0].size < n:
-        size, inverse = max(2 * n, 1 << 16), pow(_ODD, -1, 1 << 64)
+        size, inverse = (n >> 18 << 18) + (1 << 18), pow(_ODD, -1, 1 << 64)
         with np.errstate(over="ignore"):
             _POW[:] = [np.cumprod(np.concatenate(([_U(1)], np.full(size - 1, b, _U)))) for b in (_ODD & _MASK, inverse)]
     return _POW[0][:n], _POW[1][:n]

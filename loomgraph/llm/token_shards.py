@@ -217,7 +217,7 @@ def pieces(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Encoder:
     """The tokenizer with the ids of pieces seen before; ``most`` bounds what is held."""
 
-    def __init__(self, spec: str, most: int = 2_500_000):
+    def __init__(self, spec: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -227,14 +227,15 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.old, self.new = HashArray(*none), HashArray(*none)  # hash of a piece: its number
-        self.ids, self.start, self.size, self.used = np.zeros(1 << 20, _U32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 0
+        narrow = np.uint16 if self.vocabulary <= 1 << 16 else _U32
+        self.ids, self.start, self.size, self.used = np.zeros(1 << 20, narrow), np.zeros(1 << 18, _U32), np.zeros(1 << 18, _U32), 0
         self.n = 0
 
     @staticmethod
     def _grown(held: np.ndarray, n: int) -> np.ndarray:
-        return held if n <= held.size else np.concatenate((held, np.zeros(max(n, 2 * held.size) - held.size, held.dtype)))
+        return held if n <= held.size else np.concatenate((held, np.zeros(max(n, held.size + held.size // 2) - held.size, held.dtype)))
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         codes = np.full(hashes.size, -1, np.int64)
@@ -249,7 +250,7 @@ class Encoder:
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, lists), np.int32, len(lists))
         flat = np.fromiter(chain.from_iterable(lists), _U32, int(size.sum()))
-        codes = np.arange(self.n, self.n + size.size)
+        codes = np.arange(self.n, self.n + size.size, dtype=np.int32)
         self.ids = self._grown(self.ids, self.used + flat.size)
         self.start, self.size = self._grown(self.start, self.n + size.size), self._grown(self.size, self.n + size.size)
         self.ids[self.used : self.used + flat.size] = flat
@@ -282,7 +283,7 @@ class Encoder:
         size = self.size[code].astype(np.int64)
         ends = np.cumsum(size)
         total = int(ends[-1]) if size.size else 0
-        flat = self.ids[np.repeat(self.start[code] - (ends - size), size) + np.arange(total)] if total else np.zeros(0, _U32)
+        flat = self.ids[np.repeat(self.start[code] - (ends - size), size) + np.arange(total)].astype(_U32) if total else np.zeros(0, _U32)
         counts = per_row(size, first)
         out = np.full(total + counts.size, END, _U32)
         out[np.arange(total) + np.repeat(np.arange(counts.size), counts)] = flat
@@ -323,7 +324,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 <<
             return out
 
         for batch in batches:
-            for block in blocks(batch, limit=1 << 22):
+            for block in blocks(batch, limit=1 << 21):
                 ids, counts = encoder.rows(*buffers(block.column(1)))
                 held.append((ids, counts, block.column(0).to_pylist()))
                 waiting += ids.size
