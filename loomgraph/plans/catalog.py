@@ -483,7 +483,7 @@ def _turns(spark, d):
     "SELECT conv_id, turn, round(CASE WHEN len(p) = 0 AND len(r) = 0 THEN 1.0 WHEN coalesce(ov, 0) = 0 THEN 0.0 ELSE 2.0 * ov / (len(p) + len(r)) END, 5) AS f1 FROM n LEFT JOIN o USING (k)"
 )
 def token_f1(spark, d):
-    return _turns(spark, d).select("conv_id", "turn", F.round(ranking.token_f1(F.col("pred"), F.col("ref")), 5).alias("f1"))
+    return ranking.f1_rows(_turns(spark, d)).select("conv_id", "turn", F.round("f1", 5).alias("f1"))
 
 
 @query(f"WITH {TURNS} SELECT conv_id, turn, {NORM.format('pred')} = {NORM.format('ref')} AS em FROM t")
