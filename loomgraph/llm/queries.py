@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hmm_scoring, mixing, near_dedup, quality_classifier, quality_rules, secrets, token_shards, url_filters
+from . import decontaminate, hmm_scoring, mixing, near_dedup, quality_classifier, quality_rules, secrets, suffix_dedup, token_shards, url_filters
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_scoring.score(read(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_co_training": op5_co_training,
         "op6_entropy_balancing": op6_entropy_balancing,
+        "op7_suffix_arrays": op7_suffix_arrays,
         "op8_hidden_markov": op8_hidden_markov,
         "op9_min_max_hashing": op9_min_max_hashing,
         "op10_association_rules": op10_association_rules,
