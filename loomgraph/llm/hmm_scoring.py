@@ -265,7 +265,7 @@ def score(docs: DataFrame, steps: int = 3, most_held: int = 2_000_000) -> DataFr
         counted = rest.join(vocabulary.filter(F.col("n") < least).select("h", "n"), "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         rooms = F.get(F.split(F.lit(",".join(map(repr, room.tolist()))), ",").cast("array<double>"), F.col("c"))
         base = F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
-        sums = counted.groupBy("row").agg(F.sum(F.col("m") * base).alias("b"), F.sum(F.col("m") * F.log10((F.col("n") + 0.5) / rooms)).alias("s"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("k"))
+        sums = counted.groupBy("row").agg(F.sum(F.col("m") * base).alias("b"), F.sum(F.when(F.col("c") >= OWN, F.col("m") * F.log10((F.col("n") + 0.5) / rooms)).otherwise(0.0)).alias("s"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("k"))
         zero = lambda c: F.coalesce(c, F.lit(0))
         scored = scored.join(sums, "row", "left").withColumns({"n_known": F.col("n_known") + zero("k"), "base_score": F.col("base_score") + zero("b"), "score": F.col("score") + zero("s")})
     return scored.select("doc_id", (~in_training()).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
