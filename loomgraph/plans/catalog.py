@@ -396,7 +396,7 @@ def cost_rollup(spark, d):
     return rows.rollup("operation", "model").agg(F.count("*").alias("calls"), F.round(F.sum("tokens"), 2).alias("tokens")).fillna("all", ["operation", "model"])
 
 
-@query("SELECT le, count(*) FILTER (value <= le) AS n FROM events, (SELECT unnest([1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0]) AS le) GROUP BY le")
+@query("SELECT le, count(*) FILTER (value <= le) AS n FROM events, (SELECT CAST(unnest([1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0]) AS DOUBLE) AS le) GROUP BY le")
 def latency_histogram(spark, d):
     return measures.cumulative_histogram(table(spark, d, "events").select(F.col("value").alias("x")), [1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0])
 
