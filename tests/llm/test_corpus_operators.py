@@ -85,10 +85,11 @@ def test_suffix_arrays():
         order, rank = suffix_dedup.suffix_array(text)
         want = sorted(range(n), key=lambda i: text[i:].tolist())
         assert order.tolist() == want and (rank[order] == np.arange(n)).all()
-        shared = suffix_dedup.common_prefixes(text, order, 50)
-        for i in range(1, n):
-            a, b = text[want[i - 1] :].tolist(), text[want[i] :].tolist()
-            assert shared[i] == min(50, next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
+        part, _ = suffix_dedup.suffix_array(text, 5)
+        assert [text[i : i + 5].tolist() for i in part] == sorted(text[i : i + 5].tolist() for i in range(n))
+    data = np.frombuffer(b"abcdefghijklmnop--abcdefghijklmnox--abcdefghijklmnop", np.uint8)
+    at = np.array([0, 0, 18]), np.array([36, 18, 36])
+    assert suffix_dedup.agree(data, *at, 16).tolist() == [True, False, False] and suffix_dedup.agree(data, *at, 15).all()
 
 
 def plain_repeats(data):
