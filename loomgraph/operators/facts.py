@@ -79,3 +79,24 @@ def dangling(rel: DataFrame, names: DataFrame) -> DataFrame:
     live = names.select("name").distinct()
     lost = rel.join(live.withColumnRenamed("name", "src"), "src", "left_anti").select("src", "dst").union(rel.join(live.withColumnRenamed("name", "dst"), "dst", "left_anti").select("src", "dst"))
     return lost.distinct()
+
+
+def diff_extractions(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """(key…, change): rows that only the new extraction has are added, those that only the old one has removed."""
+    added = new.select(*key).distinct().join(old.select(*key), key, "left_anti").withColumn("change", F.lit("added"))
+    return added.unionByName(old.select(*key).distinct().join(new.select(*key), key, "left_anti").withColumn("change", F.lit("removed")))
+
+
+def neighbours(rel: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, other) of the names asked for, in either direction."""
+    return both_ways(rel.select("src", "dst")).join(names.select("name").distinct(), "name", "left_semi").distinct()
+
+
+def sweep_orphans(identity: DataFrame, mention: DataFrame) -> DataFrame:
+    """Identities that no mention supports."""
+    return identity.join(mention.select("name").distinct(), "name", "left_anti")
+
+
+def merge_into(men: DataFrame, old: str, new: str) -> DataFrame:
+    """Mentions with one name folded into another; a chunk that has both keeps one row."""
+    return men.withColumn("name", F.when(F.col("name") == old, new).otherwise(F.col("name"))).dropDuplicates(["name", "chunk_id"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, text, vectors
 from ..operators import facts, graph, measures, ranking, versions
+from ..streaming import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -328,6 +329,24 @@ def name_similarity(spark, d):
     return pairs.select("name", "other", F.round(vectors.name_similarity()("name", "other"), 4).alias("score")).filter("score >= 0.9")
 
 
+@query(f"WITH {SUP}, a AS (SELECT DISTINCT src, dst FROM sup WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT src, dst FROM sup WHERE doc_id % 3 = 0) SELECT src, dst, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT src, dst, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")
+def extraction_diff(spark, d):
+    sup = facts.support(chunks(spark, d))
+    return facts.diff_extractions(sup.filter("doc_id % 2 = 0"), sup.filter("doc_id % 3 = 0"), ["src", "dst"])
+
+
+@query(f"WITH {REL} SELECT DISTINCT name, other FROM nbr WHERE name IN (SELECT name FROM deg WHERE degree >= 40)")
+def neighbour_lookup(spark, d):
+    rel = facts.relations(facts.support(chunks(spark, d)))
+    return facts.neighbours(rel, facts.degrees(rel).filter("degree >= 40"))
+
+
+@query(f"WITH {MEN} SELECT DISTINCT name FROM men WHERE name NOT IN (SELECT name FROM men WHERE doc_id % 2 = 0)")
+def sweep_orphans(spark, d):
+    men = facts.mentions(chunks(spark, d))
+    return facts.sweep_orphans(men.select("name").distinct(), men.filter("doc_id % 2 = 0"))
+
+
 # ---------------------------------------------------------------- vectors
 
 
@@ -417,6 +436,13 @@ def tumbling_counts(spark, d):
     return table(spark, d, "events").groupBy(F.window("ts", "1 hour").start.alias("start"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def stream_tumbling(spark, d):
+    """The same counts from a stream with a watermark, run to its end."""
+    rows = feed.collected(feed.tumbling(feed.read_events(spark, f"{d}/events*.parquet")))
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
 @query("SELECT start, event_type, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL '15 minutes', ts) - k * INTERVAL '15 minutes' AS start FROM events, (SELECT unnest(range(4)) AS k)) GROUP BY ALL")
 def sliding_counts(spark, d):
     return table(spark, d, "events").groupBy(F.window("ts", "1 hour", "15 minutes").start.alias("start"), "event_type").agg(F.count("*").alias("n"))

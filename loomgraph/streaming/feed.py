@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.engine import Engine
+from ..sources.shared import ensure_checkpoint_dir
 
 FEED = "seq long, op string, doc_id string, uri string, content string"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -33,6 +36,7 @@ def run_feed(engine: Engine, feed: DataFrame, checkpoint: str, recompute: bool =
 
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The event table as a stream; ``folder`` is a folder or a pattern."""
     return spark.readStream.schema(EVENTS).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -55,8 +59,14 @@ def deduplicated(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def collected(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming plan over what is there and return its rows."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def collected(df: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a streaming plan over what is there into the shared folder and return its rows."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    write = "overwrite" if mode == "complete" else "append"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode(write).parquet(f"{path}/rows")
+
+    query = df.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
