@@ -25,6 +25,7 @@ from . import scratch
 from .textkit import HashArray, Words, blocks, buffers, mix, per_row, prefix_hash, shingles, span_hash
 
 ORDER = 4
+BROADCAST_LANGUAGES = 10_000
 _U = np.uint64
 _PAD = 2
 _SYMBOL = np.zeros(256, bool)
@@ -282,7 +283,9 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     """One row a document: counts, perplexity, band and ``kept``."""
     counts, _ = _judged(docs, min_words, max_repeat_percent, max_entries)
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True))
-    return counts.join(bands(counts, width, least), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
+    band = scratch.stage(bands(counts, width, least), "bands")
+    band = F.broadcast(band) if band.count() <= BROADCAST_LANGUAGES else band
+    return counts.join(band, "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def passing(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, width: float = 8.0, least: float = 0.8, max_entries: int = 16_000_000) -> DataFrame:
