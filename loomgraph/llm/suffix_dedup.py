@@ -10,10 +10,11 @@ shard against shard, so strings are first brought together by content:
 2.  An aggregate by anchor and run content finds runs that an earlier document
     repeats whole.  They need no more work.
 3.  Where an anchor has several different runs, one document for each sends its
-    bytes to the anchor's shard.  Shards of bounded size get a suffix array by
-    Larsson-Sadakane refinement, common prefixes of neighbours, and groups of
-    suffixes that agree on ``WIDTH`` bytes.  An anchor that spans shards
-    meets the strings of its earlier shards by binary search.
+    bytes, and all places where it has them, to the anchor's shard.  Shards of
+    bounded size get a suffix array by Larsson-Sadakane refinement, common
+    prefixes of neighbours, and groups of suffixes that agree on ``WIDTH`` bytes.
+    An anchor that spans shards meets the strings of its earlier shards by
+    binary search.
 4.  Spans from 2 and 3 are united for each document.
 
 Cases: a null or empty text has no bytes and stays empty; a null ``doc_id`` is
@@ -100,7 +101,7 @@ def _asked(block: pa.RecordBatch, name: str) -> np.ndarray:
 
 def _located(docs: DataFrame) -> DataFrame:
     """(doc_id, spans, sent) of (doc_id, text, full, send): spans of whole repeated runs, and the runs to compare."""
-    schema = "doc_id long, spans array<int>, sent array<struct<h: long, low: int, bytes: binary>>"
+    schema = "doc_id long, spans array<int>, sent array<struct<h: long, lows: array<int>, bytes: binary>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,11 +118,13 @@ def _located(docs: DataFrame) -> DataFrame:
                     mine = whole[edge[i] : edge[i + 1]]
                     spans[i] = _united(low[mine] - off[i], high[mine] + WIDTH - off[i])
                 asked = np.flatnonzero(np.isin(tag, _asked(block, "send")))
-                _, once = np.unique(tag[asked], return_index=True)
-                asked = asked[np.sort(once)]
-                for i, a, b, k in zip(row[asked].tolist(), low[asked].tolist(), high[asked].tolist(), h[asked].view(np.int64).tolist(), strict=True):
-                    sent[i].append({"h": k, "low": a - int(off[i]), "bytes": raw[a : b + WIDTH]})
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(spans, pa.list_(pa.int32())), pa.array(sent, pa.list_(pa.struct([("h", pa.int64()), ("low", pa.int32()), ("bytes", pa.binary())])))], ["doc_id", "spans", "sent"])
+                asked = asked[np.argsort(tag[asked], kind="stable")]  # bytes of a run go once, with every place of it
+                once = np.flatnonzero(np.concatenate(([True], tag[asked[1:]] != tag[asked[:-1]]))) if asked.size else asked
+                lows = np.split((low - off[row])[asked].astype(np.int32), once[1:]) if asked.size else []
+                asked = asked[once]
+                for i, a, b, k, places in zip(row[asked].tolist(), low[asked].tolist(), high[asked].tolist(), h[asked].view(np.int64).tolist(), lows, strict=True):
+                    sent[i].append({"h": k, "lows": places, "bytes": raw[a : b + WIDTH]})
+                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(spans, pa.list_(pa.int32())), pa.array(sent, pa.list_(pa.struct([("h", pa.int64()), ("lows", pa.list_(pa.int32())), ("bytes", pa.binary())])))], ["doc_id", "spans", "sent"])
 
     return docs.select("doc_id", "text", "full", "send").mapInArrow(run, schema)
 
@@ -251,7 +254,7 @@ def _search(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
 
 
 def _compared(sent: DataFrame) -> DataFrame:
-    """(doc_id, span): strings of the sent runs (h, doc_id, low, bytes) that a smaller document has."""
+    """(doc_id, spans): strings of the sent runs (h, doc_id, lows, bytes) that a smaller document has, at every place of the run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -259,8 +262,8 @@ def _compared(sent: DataFrame) -> DataFrame:
 
         def shard(last: bool) -> pa.RecordBatch:
             nonlocal weight, seen, seen_h
-            h, docs, low = (np.concatenate([x[i] for x in held]) for i in range(3))
-            pieces = [p for x in held for p in x[3]]
+            h, docs, times, lows = (np.concatenate([x[i] for x in held]) for i in range(4))
+            pieces = [p for x in held for p in x[4]]
             carried = seen if seen_h is not None and h[0] == seen_h else None
             if carried is not None and h[-1] != seen_h:  # only the first anchor goes on
                 n = int(np.searchsorted(h, seen_h, "right"))
@@ -279,20 +282,24 @@ def _compared(sent: DataFrame) -> DataFrame:
             new[1:] = (piece[1:] != piece[:-1]) | (start[1:] > start[:-1] + WIDTH)
             head = np.flatnonzero(new)
             ends = start[np.append(head[1:], start.size) - 1] + WIDTH if head.size else head
-            at = low[piece[head]]
-            spans = np.stack([start[head] + at, ends + at], 1).astype(np.int32).ravel()
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(head.size + 1, dtype=np.int32) * 2), pa.array(spans))
+            many = times[piece[head]]
+            edge = np.concatenate(([0], np.cumsum(many)))
+            at = lows[np.arange(edge[-1]) + np.repeat((np.cumsum(times) - times)[piece[head]] - edge[:-1], many)]
+            spans = np.stack([np.repeat(start[head], many) + at, np.repeat(ends, many) + at], 1).astype(np.int32).ravel()
+            lists = pa.ListArray.from_arrays(pa.array((edge * 2).astype(np.int32)), pa.array(spans))
             return pa.RecordBatch.from_arrays([pa.array(docs[piece[head]], pa.int64()), lists], ["doc_id", "spans"])
 
         for batch in batches:
             pieces = batch.column(3).to_pylist()
-            h, docs, low = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            h, docs = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            times, lows = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).flatten().to_numpy().astype(np.int64)
+            edge = np.concatenate(([0], np.cumsum(times)))
             grown = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
             at = 0
             while at < len(pieces):
                 room = SHARD_BYTES - weight + (int(grown[at - 1]) if at else 0)
                 to = max(at + 1, int(np.searchsorted(grown, room, "right")))
-                held.append((h[at:to], docs[at:to], low[at:to], pieces[at:to]))
+                held.append((h[at:to], docs[at:to], times[at:to], lows[edge[at] : edge[to]], pieces[at:to]))
                 weight += int(grown[to - 1]) - (int(grown[at - 1]) if at else 0)
                 at = to
                 if weight >= SHARD_BYTES or at < len(pieces):
@@ -300,7 +307,7 @@ def _compared(sent: DataFrame) -> DataFrame:
         if held:
             yield shard(True)
 
-    ordered = sent.select("h", "doc_id", "low", "bytes").repartition("h").sortWithinPartitions("h", "doc_id", "low")
+    ordered = sent.select("h", "doc_id", "lows", "bytes").repartition("h").sortWithinPartitions("h", "doc_id", "lows")
     return ordered.mapInArrow(run, "doc_id long, spans array<int>")
 
 
@@ -363,7 +370,7 @@ def _flagged(named: DataFrame) -> DataFrame:
 
 def _spans(found: DataFrame) -> DataFrame:
     """(doc_id, spans): spans of whole runs and of compared strings."""
-    sent = found.select("doc_id", F.explode("sent").alias("s")).select("s.h", "doc_id", "s.low", "s.bytes")
+    sent = found.select("doc_id", F.explode("sent").alias("s")).select("s.h", "doc_id", "s.lows", "s.bytes")
     both = found.select("doc_id", "spans").filter(F.size("spans") > 0).unionByName(_compared(sent))
     return scratch.stage(both.groupBy("doc_id").agg(F.collect_list("spans").alias("spans")), "spans")
 

@@ -122,6 +122,19 @@ def test_repeated_strings(spark, monkeypatch):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_repeated_strings_within_a_document(spark, monkeypatch):
+    texts = []
+    for i in range(20):  # the later document has a passage of the earlier one twice, between the same words
+        passage = prose(500 + i, 14)
+        texts += [f"{prose(600 + i, 9)} {passage} {prose(700 + i, 9)}", "\n".join([f"{prose(800 + i, 6)} {passage} {prose(900 + i, 6)}"] * 2)]
+    data = rows(texts)
+    want = sorted(plain_repeats(data))
+    assert sum(r[2] for r in want) > 0
+    for size in (2 << 20, 400):
+        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", size)
+        assert sorted(tuple(r) for r in suffix_dedup.remove_repeats(frame(spark, data)).collect()) == want
+
+
 def test_forward_recursion_is_the_sum_over_paths():
     model = hmm_scoring.Model(np.arange(3, dtype=np.uint64), np.ones(hmm_scoring.CLASSES))
     cls = np.array([0, 1, 2, hmm_scoring.CLASSES - 1])
