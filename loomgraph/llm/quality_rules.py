@@ -4,7 +4,8 @@ The language model is a modified Kneser-Ney model of characters.  Spark counts
 the 4-grams of every document by language; the distinct 4-grams of a language
 are bounded by its alphabet, not by the corpus, and ``max_entries`` checks that
 before the smoothed model is broadcast as sorted hash arrays.  A document is
-rejected when its perplexity leaves the band of its language.
+rejected when its perplexity leaves the band of its language, which follows the
+spread of the perplexities of that language.
 
 Cases: a null or empty text has no words and fails the base rule; a null
 language is a language of its own; repeated rows are judged each; an empty
@@ -25,6 +26,7 @@ from . import scratch
 from .textkit import HashArray, Words, blocks, buffers, mix, per_row, prefix_hash, shingles, span_hash
 
 ORDER = 4
+WIDTH, LEAST = 6.0, 0.02  # of the bands, in quartile distances and in nats a character
 BROADCAST_LANGUAGES = 10_000
 _U = np.uint64
 _PAD = 2
@@ -263,10 +265,11 @@ def judge(docs: DataFrame, models: dict[str, KneserNey]) -> DataFrame:
     return docs.select("doc_id", "lang", "text").mapInArrow(run, COUNTS)
 
 
-def bands(counts: DataFrame, width: float = 8.0, least: float = 0.8) -> DataFrame:
+def bands(counts: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFrame:
     """Band of the log perplexity of each language: its median, and on each side ``width``
-    times the distance of the quartile of that side, at least ``least``."""
-    q = counts.filter(~F.col("base_failed")).groupBy("lang").agg(F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("q"))
+    times the distance of the quartile of that side.  Texts of one perplexity, as copies
+    are, count once; ``least`` is only for languages whose quartiles meet."""
+    q = counts.filter(~F.col("base_failed")).select("lang", "log_ppl").distinct().groupBy("lang").agg(F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10000).alias("q"))
     side = lambda x: F.greatest(F.lit(width) * x, F.lit(least))
     return q.select("lang", (F.col("q")[1] - side(F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + side(F.col("q")[2] - F.col("q")[1])).alias("upper"))
 
@@ -279,7 +282,7 @@ def _judged(docs: DataFrame, min_words: int, max_repeat_percent: int, max_entrie
     return counts.withColumn("base_failed", failed), models
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, width: float = 8.0, least: float = 0.8, max_entries: int = 16_000_000) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, width: float = WIDTH, least: float = LEAST, max_entries: int = 16_000_000) -> DataFrame:
     """One row a document: counts, perplexity, band and ``kept``."""
     counts, _ = _judged(docs, min_words, max_repeat_percent, max_entries)
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True))
@@ -288,7 +291,7 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     return counts.join(band, "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
 
 
-def passing(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, width: float = 8.0, least: float = 0.8, max_entries: int = 16_000_000) -> DataFrame:
+def passing(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, width: float = WIDTH, least: float = LEAST, max_entries: int = 16_000_000) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps; no text is shuffled."""
     counts, models = _judged(docs, min_words, max_repeat_percent, max_entries)
     band = {r.lang: (r.lower, r.upper) for r in bands(counts, width, least).collect()}  # a row a language

@@ -145,6 +145,18 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(frame(spark, [])).count() == 0 and quality_rules.passing(frame(spark, [])).count() == 0
 
 
+def test_default_bands_reject_symbol_strewn_text(spark):
+    clean = [prose(3000 + i, 150) for i in range(80)]
+    strewn = [" ".join(w + "#*$%&"[i % 5] * 3 for i, w in enumerate(prose(4000 + k, 150).split(" "))) for k in range(4)]
+    docs = frame(spark, [d | {"doc_id": i} for i, d in enumerate(rows(clean + strewn))])
+    got = quality_rules.quality_rules(docs).collect()
+    assert not any(r.base_failed for r in got)
+    kept = [r.doc_id for r in got if r.kept]
+    assert not set(range(80, 84)) & set(kept)
+    assert len(set(range(80)) & set(kept)) >= 76
+    assert sorted(r.doc_id for r in quality_rules.passing(docs).collect()) == sorted(kept)
+
+
 def test_probabilities_sum_to_one():
     texts = [prose(i, 80).encode() for i in range(8)]
     data = np.frombuffer(b"".join(texts), np.uint8)
