@@ -4,11 +4,17 @@ Two views of a document: its words, and its metadata (language, source, length
 and layout, without words).  Each view has a logistic classifier, fitted on a
 bounded sample of labelled rows (``most_labelled``).  Over rounds each view
 scores all documents without a label and hands its ``exchange`` most confident
-documents of either class to the other view as pseudo-labels.  At the end both
-views are calibrated on labelled rows that neither was fitted on, and their
-log odds are added to score all documents.
-
-A document is good if its quality is 1 and it is not toxic.
+documents of either class to the other view as pseudo-labels.  By default that
+is a 60th of the documents without a label, but no more than a 30th of the fitted
+labelled rows: metadata does not show toxic words, so pseudo-labels that
+outnumber labels teach the words to pass them.  At the end both views are
+calibrated on labelled rows that neither was fitted on, and their log odds are
+added to score all documents.
+
+A document is good if its quality is 1 and it is not toxic.  It is kept if its
+score reaches ``threshold`` and its words alone do not speak against it: their log
+odds reach 0, or a lower floor that ``pass_share`` of the good rows held out for
+calibration reach.
 
 Cases: a null or empty text has no words and is scored by the bias and its
 metadata; null languages and sources are values of their own; labels that
@@ -161,7 +167,7 @@ def _by_hash(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
-def classify(docs: DataFrame, labels: DataFrame, rounds: int = 2, exchange: int = 100, most_labelled: int = 8000, threshold: float = 0.3) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, rounds: int = 2, exchange: int | None = None, most_labelled: int = 8000, threshold: float = 0.3, pass_share: float = 0.95) -> DataFrame:
     """(doc_id, word_score, meta_score, score, kept) of each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     named = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -189,6 +195,8 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = 2, exchange: int
         scored = scratch.stage(_scores(docs, (word_model, meta_model, meta)), "margins")
         if last:
             break
+        if exchange is None:
+            exchange = max(1, min((scored.count() - named.count()) // 60, len(train) // 30))
         free = scored.filter("doc_id is not null").join(named.select("doc_id"), "doc_id", "left_anti").join(F.broadcast(used), "doc_id", "left_anti")
         taken = []
         for view, x, y, describe in (("word_margin", meta_x, meta_y, codes), ("meta_margin", word_x, word_y, words)):
@@ -205,10 +213,12 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = 2, exchange: int
     truth = np.array([r.good for r in held], bool)
     share = named.agg(F.avg(F.col("good").cast("int"))).first()[0]
     prior = float(np.log(share / (1 - share)))
-    word_scale = platt(np.array([word_model[0][w].sum() + word_model[1] for w in words(held)]), truth)
+    word_held = np.array([word_model[0][w].sum() + word_model[1] for w in words(held)])
+    word_scale = platt(word_held, truth)
+    floor = min(0.0, float(np.quantile(word_scale[0] * word_held[truth] + word_scale[1], 1 - pass_share, method="lower")))
     meta_scale = platt(np.array([meta_model[0][c].sum() + meta_model[1] for c in codes(held)]), truth)
     odds = lambda c, s: F.lit(s[0]) * F.col(c) + F.lit(s[1])
     chance = lambda x: 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), x)))
     word, page = odds("word_margin", word_scale), odds("meta_margin", meta_scale)
-    out = scored.select("doc_id", chance(word).alias("word_score"), chance(page).alias("meta_score"), chance(word + page + F.lit(prior)).alias("score"))
-    return out.withColumn("kept", F.col("score") >= threshold)
+    score = chance(word + page + F.lit(prior))
+    return scored.select("doc_id", chance(word).alias("word_score"), chance(page).alias("meta_score"), score.alias("score"), ((score >= threshold) & (word >= floor)).alias("kept"))

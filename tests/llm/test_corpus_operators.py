@@ -193,6 +193,25 @@ def test_classifier(spark):
     assert quality_classifier.classify(frame(spark, []), labels).count() == 0
 
 
+def test_classifier_rejects_toxic_words(spark):
+    rng = random.Random(5)
+    texts = [prose(5000 + i, rng.randint(60, 200)) for i in range(900)]
+    toxic = list(range(0, 900, 15))
+    for k, i in enumerate(toxic):  # good in all but a word
+        w = texts[i].split(" ")
+        w[rng.randrange(len(w))] = f"venom{k % 2}"
+        texts[i] = " ".join(w)
+    junk = [" | ".join(words(prose(7000 + i, 80))) for i in range(150)]
+    data = [d | {"doc_id": i} for i, d in enumerate(rows(texts + junk))]
+    held = set(toxic[::3])
+    known = [(i, int(i < 900), int(i in toxic)) for i in range(1050) if (i not in held if i in toxic else i % 3)]
+    labels = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in quality_classifier.classify(frame(spark, data), labels).collect()}
+    clean = [i for i in range(0, 900, 3) if i not in toxic]
+    assert sum(not got[i] for i in held) / len(held) > 0.8
+    assert sum(got[i] for i in clean) / len(clean) > 0.9
+
+
 def test_pipeline(spark, tmp_path):
     item = prose(400, 40)
     texts = [prose(300 + i, 90) for i in range(30)] + [prose(300, 90), f"{prose(41, 60)} {item}"]
