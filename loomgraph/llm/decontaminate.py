@@ -105,7 +105,7 @@ class Items:
             which = self.owner[np.repeat(low - np.concatenate(([0], np.cumsum(span)[:-1])), span) + np.arange(span.sum())]
             where = np.repeat(at[a:b], span)
             for i in np.unique(which):
-                mine = where[which == i]
+                mine = np.unique(where[which == i])  # a seed that the item repeats is there once for each
                 text = word[mine[0] : mine[-1] + self.least]
                 step = np.flatnonzero(np.diff(np.concatenate(([-9], mine, [1 << 60]))) != 1)
                 longest = int(np.diff(step).max()) + self.least - 1

@@ -85,6 +85,13 @@ def test_contamination(spark):
     assert not decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count()
 
 
+def test_items_that_repeat_a_seed(spark):
+    item = "one two three four five six red green blue one two three four five white black grey"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    (got,) = decontaminate.contamination(frame(spark, rows([f"before {item} after"])), bench).collect()
+    assert (got.n_tiles, got.coverage) == (1, 1.0)
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(3)
     for base, ids in ((50257, rng.integers(0, 40, 20_000)), (70_000, np.tile(rng.integers(0, 70_000, 50), 300)), (300, np.zeros(500, int)), (10, np.zeros(0, int)), (10, np.array([3]))):
