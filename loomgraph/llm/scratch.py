@@ -2,7 +2,8 @@
 
 Long jobs cut their lineage by writing narrow tables to the folder that the
 cluster names in ``spark.checkpoint.dir``; every executor can read them again
-after another executor is lost.
+after another executor is lost.  The shuffle files of such a write are of no
+more use once it has ended, so Spark's own clean-up is switched on for it.
 """
 
 from __future__ import annotations
@@ -10,18 +11,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
 _OPEN: list[str] = []
+_SHARED: list[Broadcast] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch that a Python worker is sent at once; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder; a temporary one only where none is set and all runs on one machine."""
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
@@ -38,18 +46,42 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    return len(_OPEN)
+def share(spark: SparkSession, value) -> Broadcast:
+    """Broadcast a value of proven size until ``release``, and keep the batches of Python workers small."""
+    small_batches(spark)
+    _SHARED.append(spark.sparkContext.broadcast(value))
+    return _SHARED[-1]
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables staged after ``mark()`` returned ``since``."""
+def forget(shared: Broadcast) -> None:
+    """Destroy a broadcast whose jobs have ended."""
+    _SHARED.remove(shared)
+    shared.destroy()
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def mark() -> tuple[int, int]:
+    return len(_OPEN), len(_SHARED)
+
+
+def release(spark: SparkSession, since: tuple[int, int] = (0, 0)) -> None:
+    """Delete the tables staged and the broadcasts shared after ``mark()`` returned ``since``."""
+    while len(_SHARED) > since[1]:
+        _SHARED.pop().destroy()
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while len(_OPEN) > since:
+    while len(_OPEN) > since[0]:
         path = jvm.org.apache.hadoop.fs.Path(_OPEN.pop()).getParent()
         path.getFileSystem(conf).delete(path, True)
 

@@ -12,32 +12,33 @@ shard against shard, so strings are first brought together by content:
 3.  Where an anchor has several different runs, one document for each sends its
     bytes, and all places where it has them, to the anchor's shard.  Shards of
     bounded size get a suffix array by Larsson-Sadakane refinement, common
-    prefixes of neighbours, and groups of suffixes that agree on ``WIDTH`` bytes.
+    prefixes of neighbours by Kasai's rule, and so groups of suffixes that agree
+    on ``WIDTH`` bytes.
     An anchor that spans shards meets the strings of its earlier shards by
     binary search.
 4.  Spans from 2 and 3 are united for each document.
 
 Cases: a null or empty text has no bytes and stays empty; a null ``doc_id`` is
 never smaller and loses nothing; rows of one ``doc_id`` do not count as repeats
-of each other and lose the same strings; an empty table gives an empty result;
-other columns are ignored.
+of each other and lose the same strings; the smallest ``doc_id`` that has a
+string keeps it, so there are no ties; a text of any length is one row of a
+block of its own; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textkit import blocks, buffers, mix, prefix_hash, span_hash
+from .textkit import blocks, buffers, mix, powers, prefix_hash, span_hash
 
 WIDTH, GRAM = 50, 16
 REACH = WIDTH - GRAM + 1
@@ -46,8 +47,12 @@ _U = np.uint64
 
 
 def runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, anchor hash, content hash, first start, last start) of the runs of a block of rows."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, _U, np.int32, np.int64, np.int64))
+    """(row, anchor hash, content hash, first start, last start) of the runs of a block of rows.
+
+    The content hash is over the mixed hashes of the run's grams, with the place
+    of the anchor among them, so runs compare by anchor and content: 128 bits.
+    """
+    none = tuple(np.zeros(0, t) for t in (np.int64, _U, np.int64, np.int64, np.int64))
     n = data.size
     if n < WIDTH:
         return none
@@ -71,8 +76,10 @@ def runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     low = start[new]
     high = np.append(start[np.flatnonzero(new)[1:] - 1], start[-1])
     pin = anchor[new].astype(np.int64)
-    content = mix(span_hash(prefix, low, high + WIDTH) + (pin - low).astype(_U))
-    return row[low], gram[pin], (content >> _U(33)).astype(np.int32), low, high
+    sums = np.zeros(gram.size + 1, _U)
+    np.cumsum(gram * powers(gram.size)[0], out=sums[1:])
+    content = mix(span_hash(sums, low, high + REACH) + (pin - low).astype(_U))
+    return row[low], gram[pin], content.view(np.int64), low, high
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -84,7 +91,7 @@ def _rows(docs: DataFrame) -> DataFrame:
                 row, h, g, _, _ = runs(*buffers(block.column(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g), block.column(0).take(pa.array(row))], ["h", "g", "doc_id"])
 
-    return docs.mapInArrow(run, "h long, g int, doc_id long")
+    return docs.mapInArrow(run, "h long, g long, doc_id long")
 
 
 def _tagged(values: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -108,7 +115,7 @@ def _located(docs: DataFrame) -> DataFrame:
             for block in blocks(batch, limit=1 << 19):
                 data, off = buffers(block.column(block.schema.get_field_index("text")))
                 row, h, g, low, high = runs(data, off)
-                tag = _tagged(h.view(np.int64) ^ g.astype(np.int64), row)
+                tag = _tagged(h.view(np.int64) ^ g, row)
                 raw = data.tobytes()
                 spans: list[list[int]] = [[] for _ in range(block.num_rows)]
                 sent: list[list[dict]] = [[] for _ in range(block.num_rows)]
@@ -142,17 +149,15 @@ def _united(start: np.ndarray, end: np.ndarray) -> list[int]:
 # ---------------------------------------------------------------- suffix arrays
 
 
-def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order, and the rank of each, by Larsson-Sadakane refinement.
+def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Suffixes in order by Larsson-Sadakane refinement, the symbols from each place packed into a word, and the bits of one.
 
     The first order is by as many symbols as fit one word.  Each round then
     sorts only the groups that are still tied, by the rank ``h`` places on, and
     doubles ``h``; with ``depth``, order beyond as many symbols is left open.
     """
     n = text.size
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bits = max(int(text.max()) + 1, 1).bit_length()
+    bits = max(int(text.max(initial=0)) + 1, 1).bit_length()
     h = max(63 // bits, 1)
     padded = np.zeros(n + h, _U)
     padded[:n] = text.astype(_U) + _U(1)  # 0 is the end
@@ -160,6 +165,8 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray
     for i in range(h):
         packed = (packed << _U(bits)) | padded[i : n + i]
     order = np.argsort(packed)
+    if not n:
+        return order, packed, bits
     ordered = packed[order]
     head = np.concatenate(([True], ordered[1:] != ordered[:-1]))
     rank = np.empty(n, np.int64)
@@ -180,19 +187,42 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray
         head[slot] = fresh
         rank[suffix] = slot[np.maximum.accumulate(np.where(fresh, np.arange(slot.size), 0))]
         h *= 2
-    return order, rank
+    return order, packed, bits
 
 
-def agree(data: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
-    """Whether the suffixes at ``a`` and ``b`` share a prefix of ``width`` >= 8 bytes, a word at a time."""
-    words = np.lib.stride_tricks.sliding_window_view(data, 8)
-    packed = np.ascontiguousarray(words).view(_U).ravel()
-    live = np.arange(a.size)
-    for k in [*range(0, width - 7, 8), width - 8]:
-        live = live[packed[a[live] + k] == packed[b[live] + k]]
-    out = np.zeros(a.size, bool)
-    out[live] = True
-    return out
+def common_prefixes(order: np.ndarray, packed: np.ndarray, bits: int, depth: int) -> np.ndarray:
+    """Symbols, up to ``depth``, that each suffix in order shares with the one before it.
+
+    Kasai's rule: if suffix ``i`` shares ``l`` symbols with its neighbour, suffix
+    ``i + 1`` shares at least ``l - 1`` with its own.  The text is cut into lanes
+    that follow the rule in step, one suffix of each lane at a time; a lane begins
+    anew where ``depth`` is reached, as order beyond it may be open.
+    """
+    n = order.size
+    if not n:
+        return np.zeros(0, np.int64)
+    word = 63 // bits
+    step = _U(1) << (np.arange(word, dtype=_U) * _U(bits))  # a difference below step[k] leaves word - k symbols equal
+    before = np.full(n, -1)
+    before[order[1:]] = order[:-1]
+    far = np.concatenate((packed, np.zeros(depth + word, _U)))
+    size = max(min(n, 64), 1)
+    lane = np.arange(0, n, size)
+    shared, carried = np.zeros(n + 1, np.int64), np.zeros(lane.size, np.int64)
+    for i in range(size):
+        at = lane + i
+        at, carried = at[at < n], carried[: np.count_nonzero(at < n)]
+        other = before[at]
+        carried[other < 0] = 0
+        live = np.flatnonzero(other >= 0)
+        while live.size:
+            x = far[at[live] + carried[live]] ^ far[other[live] + carried[live]]
+            same = word - np.searchsorted(step, x, "right")
+            carried[live] += same
+            live = live[(same == word) & (carried[live] < depth)]
+        shared[at] = np.minimum(carried, depth)
+        carried = np.where(carried < depth, np.maximum(carried - 1, 0), 0)
+    return shared[order]
 
 
 def repeated(pieces: list[bytes], docs: np.ndarray, seen: tuple[np.ndarray, np.ndarray] | None, keep: bool = False) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -207,11 +237,12 @@ def repeated(pieces: list[bytes], docs: np.ndarray, seen: tuple[np.ndarray, np.n
     text = data.astype(np.int64)
     text[begin[1:] - 1] = 256  # ends a piece; no string of full width reaches it
     owner = np.repeat(np.arange(size.size), size + 1)
-    order, _ = suffix_array(text, WIDTH)
-    order = order[begin[owner[order]] + size[owner[order]] - order >= WIDTH]
+    order, packed, bits = suffix_array(text, WIDTH)
+    long = begin[owner[order]] + size[owner[order]] - order >= WIDTH
+    new = common_prefixes(order, packed, bits, WIDTH)[long] < WIDTH  # a shorter suffix never stands between equal strings
+    order = order[long]
     if not order.size:
         return order, order, (np.zeros(0, f"V{WIDTH}"), np.zeros(0, np.int64))
-    new = np.concatenate(([True], ~agree(data, order[1:], order[:-1], WIDTH)))
     group, head = np.cumsum(new) - 1, np.flatnonzero(new)
     doc = docs[owner[order]]
     low = np.minimum.reduceat(doc, head)
@@ -346,23 +377,12 @@ def _digest(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _let_go(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs before the next large shuffle.
-
-    The first round frees the frames, the second what they held.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def _flagged(named: DataFrame) -> DataFrame:
     """(doc_id, full, send): runs that an earlier document repeats whole, and runs to compare."""
     by_anchor, by_run = Window.partitionBy("h"), Window.partitionBy("h", "g")
     each = _rows(named).withColumn("least", F.min("doc_id").over(by_anchor)).withColumn("most", F.max("doc_id").over(by_anchor)).filter("least < most")
     each = each.withColumn("own", F.min("doc_id").over(by_run)).withColumn("latest", F.max("own").over(by_anchor))
-    key = F.col("h").bitwiseXOR(F.col("g").cast("long"))
+    key = F.col("h").bitwiseXOR(F.col("g"))
     whole, send = F.col("doc_id") > F.col("own"), (F.col("doc_id") == F.col("own")) & (F.col("latest") > F.col("least"))
     lists = each.filter(whole | send).groupBy("doc_id").agg(F.collect_set(F.when(whole, key)).alias("full"), F.collect_set(F.when(send, key)).alias("send"))
     return scratch.stage(lists, "flagged")
@@ -376,22 +396,13 @@ def _spans(found: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): lists of starts and ends, in bytes, that repeat a smaller document.
-
-    The steps hold no frame of an earlier one, so that its shuffle files can go.
-    """
-    spark = docs.sparkSession
+    """(doc_id, spans): lists of starts and ends, in bytes, that repeat a smaller document."""
+    scratch.small_batches(docs.sparkSession)
     named = docs.filter("doc_id is not null").select("doc_id", "text")
-    flagged = _flagged(named)
-    _let_go(spark)
-    found = scratch.stage(_located(named.join(flagged, "doc_id")), "located")
-    _let_go(spark)
-    return _spans(found)
+    return _spans(scratch.stage(_located(named.join(_flagged(named), "doc_id")), "located"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = repeated_spans(docs)
-    _let_go(docs.sparkSession)
-    return _digest(docs.join(spans, "doc_id", "left"))
+    return _digest(docs.join(repeated_spans(docs), "doc_id", "left"))

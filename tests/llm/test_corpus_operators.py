@@ -80,16 +80,30 @@ def test_signatures_estimate_similarity():
 
 def test_suffix_arrays():
     rng = np.random.default_rng(6)
-    for n, k in ((1, 2), (2, 1), (200, 2), (300, 4), (64, 1)):
+    for n, k in ((0, 1), (1, 2), (2, 1), (200, 2), (300, 4), (64, 1), (130, 300)):
         text = rng.integers(0, k, n)
-        order, rank = suffix_dedup.suffix_array(text)
-        want = sorted(range(n), key=lambda i: text[i:].tolist())
-        assert order.tolist() == want and (rank[order] == np.arange(n)).all()
-        part, _ = suffix_dedup.suffix_array(text, 5)
+        order, packed, bits = suffix_dedup.suffix_array(text)
+        assert order.tolist() == sorted(range(n), key=lambda i: text[i:].tolist())
+        part, *word = suffix_dedup.suffix_array(text, 5)
         assert [text[i : i + 5].tolist() for i in part] == sorted(text[i : i + 5].tolist() for i in range(n))
-    data = np.frombuffer(b"abcdefghijklmnop--abcdefghijklmnox--abcdefghijklmnop", np.uint8)
-    at = np.array([0, 0, 18]), np.array([36, 18, 36])
-    assert suffix_dedup.agree(data, *at, 16).tolist() == [True, False, False] and suffix_dedup.agree(data, *at, 15).all()
+        for found, depth, rest in ((order, 7, (packed, bits)), (part, 5, word)):
+            pairs = [(text[a : a + depth].tolist(), text[b : b + depth].tolist()) for a, b in zip(found, found[1:])]
+            same = [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in pairs]
+            assert suffix_dedup.common_prefixes(found, *rest, depth).tolist() == [0] * (n > 0) + same
+
+
+def test_runs_of_one_anchor_are_told_apart():
+    """Two texts that share a rare 16-byte gram and no 50 bytes: no content hash of one is among those of the other."""
+    rng = random.Random(8)
+    draw = lambda n: bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+    seen, n = set(), 0
+    for _ in range(400):
+        data = np.frombuffer(draw(40) + b"zzzzyyyyxxxxwwww" + draw(40), np.uint8)
+        _, h, g, _, _ = suffix_dedup.runs(data, np.array([0, 96]))
+        assert g.dtype == np.int64
+        seen |= set(zip(h.tolist(), g.tolist()))
+        n += h.size
+    assert len(seen) == n
 
 
 def plain_repeats(data):
@@ -135,6 +149,25 @@ def test_repeated_strings_within_a_document(spark, monkeypatch):
         assert sorted(tuple(r) for r in suffix_dedup.remove_repeats(frame(spark, data)).collect()) == want
 
 
+def test_repeated_strings_of_random_documents(spark):
+    """Pieces of a common store in any order, whole and cut, against brute force."""
+    rng = random.Random(21)
+    store = [prose(1500 + i, rng.randint(4, 25)) for i in range(60)]
+    texts = []
+    for _ in range(500):
+        parts = [rng.choice(store)[rng.randint(0, 9) :] if rng.random() < 0.5 else prose(rng.randrange(10**6), rng.randint(1, 12)) for _ in range(rng.randint(1, 6))]
+        texts.append(rng.choice([" ", "\n", ""]).join(parts))
+    data = rows(texts)
+    assert sorted(tuple(r) for r in suffix_dedup.remove_repeats(frame(spark, data)).collect()) == sorted(plain_repeats(data))
+
+
+def test_repeated_strings_of_a_very_long_text(spark):
+    long = prose(77, 120_000)  # more than a block
+    data = rows(["short " + long[200_000:200_400], long, long[700_000:700_300] + " end"])
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(frame(spark, data)).collect()}
+    assert got == {r[0]: r[2] for r in plain_repeats(data)} and got[2] >= 300
+
+
 def test_forward_recursion_is_the_sum_over_paths():
     model = hmm_scoring.Model(np.arange(3, dtype=np.uint64), np.ones(hmm_scoring.CLASSES))
     cls = np.array([0, 1, 2, hmm_scoring.CLASSES - 1])
