@@ -19,7 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: No stage but the first has rows that SQL can express; see tests/llm for the brute-force versions.
 ORACLE_SQL = None
 
-_MARK: dict[str, int] = {}
+_MARK: dict[str, tuple[int, int]] = {}
 
 
 def _begin(spark: SparkSession) -> None:
