@@ -7,24 +7,27 @@ unmarked words, and never overlap.  A document is contaminated if the tiles
 cover ``coverage`` of an item's words, in whatever order they stand.
 
 The items are read in blocks of at most ``block_bytes``; each block is a
-broadcast of that bound, and every document meets every block.
+broadcast of that bound, and every document meets every block.  With several
+blocks the texts are read once for each, and only rows of the documents that
+share something with an item are written.
 
 Cases: a null or empty text covers nothing; a null ``doc_id`` is judged like any
-other; items of fewer than ``least`` words match nothing; of equal items the one
-with the smallest id is named; repeated rows are judged each; an empty table
-gives an empty result; an empty benchmark flags nothing.
+other; items of fewer than ``least`` words match nothing; of items covered alike
+the one with the smallest id is named; repeated rows are judged each; a text of
+any length is tiled whole; an empty table gives an empty result; an empty
+benchmark flags nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import scratch
 from .textkit import MARKS, HashArray, Words, blocks, buffers, mix, powers, shingles
@@ -55,26 +58,41 @@ class _Rolling:
         return mix((self.sums[start + length] - self.sums[start]) * powers(self.word.size + 1)[1][start]), start
 
 
+def _shared(item: _Rolling, text: _Rolling, item_free: np.ndarray, text_free: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Hashes and starts of the item's free windows that the text has free, and those of all free windows of the text."""
+    hashes, at = item.windows(length, item_free)
+    theirs, there = text.windows(length, text_free)
+    known = np.isin(hashes, theirs)
+    return hashes[known], at[known], theirs, there
+
+
 def tiles(item: np.ndarray, text: np.ndarray, least: int, longest: int | None = None) -> list[tuple[int, int, int]]:
     """Greedy tiling of ``text`` with ``item``: (start in item, start in text, length), longest first,
-    of equal ones the first in the item and then in the text."""
+    of equal ones the first in the item and then in the text.
+
+    A common window holds shorter ones, so the longest length is found by halving.
+    """
     item_roll, text_roll = _Rolling(item), _Rolling(text)
     item_free, text_free = np.ones(item.size, bool), np.ones(text.size, bool)
     found = []
-    length = min(item.size, text.size, longest or item.size)
-    while length >= least:
-        hashes, at = item_roll.windows(length, item_free)
-        theirs, there = text_roll.windows(length, text_free)
-        known = np.isin(hashes, theirs)
-        for h, i in zip(hashes[known], at[known], strict=True):
-            if not item_free[i : i + length].all():
+    most = min(item.size, text.size, longest or item.size)
+    while most >= least:
+        low, high = least - 1, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if _shared(item_roll, text_roll, item_free, text_free, middle)[0].size else (low, middle - 1)
+        if low < least:
+            break
+        hashes, at, theirs, there = _shared(item_roll, text_roll, item_free, text_free, low)
+        for h, i in zip(hashes, at, strict=True):
+            if not item_free[i : i + low].all():
                 continue
             for t in there[theirs == h]:
-                if text_free[t : t + length].all() and np.array_equal(item[i : i + length], text[t : t + length]):
-                    item_free[i : i + length], text_free[t : t + length] = False, False
-                    found.append((int(i), int(t), length))
+                if text_free[t : t + low].all() and np.array_equal(item[i : i + low], text[t : t + low]):
+                    item_free[i : i + low], text_free[t : t + low] = False, False
+                    found.append((int(i), int(t), low))
                     break
-        length -= 1
+        most = low - 1
     return found
 
 
@@ -139,48 +157,77 @@ def item_blocks(benchmark: DataFrame, least: int, block_bytes: int) -> Iterator[
         yield Items(ids, texts, least)
 
 
-def _through(docs: DataFrame, items: Items, threshold: float | None) -> DataFrame:
-    """``docs`` with the best coverage so far, or, with a ``threshold``, without the rows that reach it."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    schema = docs.schema
-    names = schema.names
+COVER = "item_id long, coverage double, n_tiles long"
+
+
+def _covered(docs: DataFrame, items: Items) -> DataFrame:
+    """(doc_id, text) with the item that each covers most."""
+    shared = scratch.share(docs.sparkSession, items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
             for block in blocks(batch):
-                word, words = _words(block.column(block.schema.get_field_index("text")))
+                word, words = _words(block.column(1))
                 coverage, item, n = held.best(word, words, block.num_rows)
-                if threshold is not None:
-                    clean = coverage < threshold
-                    yield block if clean.all() else block.filter(pa.array(clean))
-                    continue
-                columns = dict(zip(names, block.columns, strict=True))
-                before = columns["coverage"].to_numpy(zero_copy_only=False)
-                more = coverage > before
-                columns["coverage"] = pa.array(np.where(more, coverage, before))
-                columns["item_id"] = pa.array([x if m else y for x, m, y in zip(item, more, columns["item_id"].to_pylist(), strict=True)], pa.int64())
-                columns["n_tiles"] = pa.array(np.where(more, n, columns["n_tiles"].to_numpy(zero_copy_only=False)), pa.int64())
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+                yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(item, pa.int64()), pa.array(coverage), pa.array(n)], ["doc_id", "text", "item_id", "coverage", "n_tiles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, text string, {COVER}")
+
 
-    return docs.mapInArrow(run, schema)
+def _keyed(rows: DataFrame, *rest: str) -> DataFrame:
+    """(k_id, k_text, ...): rows of one id and text are judged alike."""
+    return rows.select(F.col("doc_id").alias("k_id"), F.md5("text").alias("k_text"), *rest)
+
+
+def _many(docs: DataFrame, first: list[Items], rest: Iterator[Items]) -> DataFrame:
+    """(k_id, k_text, item_id, coverage, n_tiles) of the documents that share something with an item of any block."""
+    parts = None
+    for items in chain(first, rest):
+        part = scratch.stage(_keyed(_covered(docs, items).filter("coverage > 0"), "item_id", "coverage", "n_tiles").distinct(), "covered")
+        parts = part if parts is None else parts.unionByName(part)
+    best = F.max_by(F.struct("item_id", "coverage", "n_tiles"), F.struct("coverage", -F.col("item_id")))
+    return parts.groupBy("k_id", "k_text").agg(best.alias("b")).select("k_id", "k_text", "b.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, contaminated) of each document: the item it covers most."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast(T.LongType()).alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_tiles"))
-    waiting = None
-    for items in item_blocks(benchmark, least, block_bytes):
-        rows = rows if waiting is None else scratch.stage(_through(rows, waiting, None), "tiled")
-        waiting = items
-    rows = rows if waiting is None else _through(rows, waiting, None)
-    return rows.select("doc_id", "item_id", "coverage", "n_tiles", (F.col("coverage") >= threshold).alias("contaminated"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    read = item_blocks(benchmark, least, block_bytes)
+    first = list(islice(read, 2))
+    if len(first) == 1:
+        out = _covered(rows, first[0])
+    elif first:
+        same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("m") == F.col("k_text"))
+        out = rows.select("doc_id", F.md5("text").alias("m")).join(_many(rows, first, read), same, "left")
+    else:
+        out = rows.selectExpr("doc_id", "cast(null as long) item_id", "0.0D coverage", "0L n_tiles")
+    out = out.select("doc_id", "item_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("n_tiles", F.lit(0)).alias("n_tiles"))
+    return out.withColumn("contaminated", F.col("coverage") >= threshold)
+
+
+def _clean(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+    shared = scratch.share(docs.sparkSession, items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            for block in blocks(batch):
+                word, words = _words(block.column(block.schema.get_field_index("text")))
+                yield block.filter(pa.array(held.best(word, words, block.num_rows)[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not contaminated."""
-    waiting = None
-    for items in item_blocks(benchmark, least, block_bytes):
-        docs = docs if waiting is None else scratch.stage(_through(docs, waiting, threshold), "clean")
-        waiting = items
-    return docs if waiting is None else _through(docs, waiting, threshold)
+    read = item_blocks(benchmark, least, block_bytes)
+    first = list(islice(read, 2))
+    if not first:
+        return docs
+    if len(first) == 1:
+        return _clean(docs, first[0], threshold)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    bad = scratch.stage(_many(rows, first, read).filter(F.col("coverage") >= threshold).select("k_id", "k_text"), "contaminated")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.md5(F.coalesce("d.text", F.lit(""))) == F.col("k_text"))
+    return docs.alias("d").join(bad, same, "left_anti")

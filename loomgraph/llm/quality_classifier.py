@@ -19,8 +19,10 @@ calibration reach.
 Cases: a null or empty text has no words and is scored by the bias and its
 metadata; null languages and sources are values of their own; labels that
 disagree about a document count as bad; without labelled rows of both classes
-every score is 0.5; repeated rows are scored each; an empty table gives an
-empty result; other columns are ignored.
+every score is 0.5; repeated rows are scored each, and of rows that repeat a
+labelled id the least (by text, language, source) is learnt; documents equally
+confident are exchanged in order of ``doc_id``; a text of any length is read
+whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -140,14 +142,14 @@ def _features(rows: DataFrame) -> DataFrame:
 
 
 def _gathered(docs: DataFrame, chosen: DataFrame) -> list:
-    """Features of the bounded set ``chosen`` (doc_id, good), in order of doc_id."""
-    rows = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Features of the bounded set ``chosen`` (doc_id, good), in order of doc_id; of rows that repeat an id the least."""
+    rows = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source")).alias("r")).select("doc_id", "r.*")
     return _features(rows).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
 
 
 def _scores(docs: DataFrame, model: tuple) -> DataFrame:
     """(doc_id, word_margin, meta_margin) of all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = scratch.share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (word_w, word_b), (meta_w, meta_b), meta = shared.value
@@ -160,7 +162,9 @@ def _scores(docs: DataFrame, model: tuple) -> DataFrame:
                 codes = meta.codes(layout(data, off), _names(block, "lang"), _names(block, "source"))
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array(word), pa.array(meta_w[codes].sum(1) + meta_b)], ["doc_id", "word_margin", "meta_margin"])
 
-    return docs.select("doc_id", "text", "lang", "source").mapInArrow(run, "doc_id long, word_margin double, meta_margin double")
+    scored = scratch.stage(docs.select("doc_id", "text", "lang", "source").mapInArrow(run, "doc_id long, word_margin double, meta_margin double"), "margins")
+    scratch.forget(shared)
+    return scored
 
 
 def _by_hash(df: DataFrame, n: int) -> DataFrame:
@@ -192,7 +196,7 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = 2, exchange: int
     for last in [False] * rounds + [True]:
         word_model = fit(word_x, np.array(word_y, bool), BUCKETS)
         meta_model = fit(meta_x, np.array(meta_y, bool), META_SIZE)
-        scored = scratch.stage(_scores(docs, (word_model, meta_model, meta)), "margins")
+        scored = _scores(docs, (word_model, meta_model, meta))
         if last:
             break
         if exchange is None:

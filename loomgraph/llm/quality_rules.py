@@ -2,14 +2,16 @@
 
 The language model is a modified Kneser-Ney model of characters.  Spark counts
 the 4-grams of every document by language; the distinct 4-grams of a language
-are bounded by its alphabet, not by the corpus, and ``max_entries`` checks that
-before the smoothed model is broadcast as sorted hash arrays.  A document is
-rejected when its perplexity leaves the band of its language, which follows the
-spread of the perplexities of that language.
+are bounded by its alphabet, not by the corpus.  Up to ``max_entries`` of them,
+the smoothed model is broadcast as sorted hash arrays; beyond, the same
+probabilities are computed by aggregates and meet the 4-grams of each document
+in a join.  A document is rejected when its perplexity leaves the band of its
+language, which follows the spread of the perplexities of that language.
 
 Cases: a null or empty text has no words and fails the base rule; a null
-language is a language of its own; repeated rows are judged each; an empty
-table gives an empty result; other columns are ignored.
+language is a language of its own, apart from the empty one; repeated rows are
+judged each; bounds of a band are inside it; a text of any length is scored
+whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,19 +30,13 @@ from .textkit import HashArray, Words, blocks, buffers, mix, per_row, prefix_has
 ORDER = 4
 WIDTH, LEAST = 6.0, 0.02  # of the bands, in quartile distances and in nats a character
 BROADCAST_LANGUAGES = 10_000
+MAX_ENTRIES = 8_000_000  # 4-grams of a broadcast model
 _U = np.uint64
 _PAD = 2
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
-COUNTS = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("lang", T.StringType()),
-        *[T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars")],
-        T.StructField("log_ppl", T.DoubleType()),
-    ]
-)
+NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars")
 
 
 def _normal_table() -> np.ndarray:
@@ -51,6 +47,10 @@ def _normal_table() -> np.ndarray:
     return table
 
 
+def _lang_key(name: str | None) -> str:
+    return "" if name is None else f"={name}"
+
+
 _NORMAL = _normal_table()
 
 
@@ -58,14 +58,14 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed 4-gram ending at each character, and the first character of each row.
 
     A-Z are lower-cased, digits are 0, white space is a space; characters beyond
-    16 bits share one code.
+    16 bits are spread over the 2,048 codes that are no characters.
     """
     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     first = lead[off]
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     if points.size != first[-1]:  # broken UTF-8: one character a byte
         points, first = data.astype(np.uint32), off
-    codes = _NORMAL[np.minimum(points, 0xFFFD)]
+    codes = _NORMAL[np.where(points < 0x10000, points, 0xD800 + points % 0x800)]
     doc = np.repeat(np.arange(first.size - 1), np.diff(first))
     at = np.arange(codes.size) + (ORDER - 1) * (doc + 1)
     padded = np.full(codes.size + (ORDER - 1) * (first.size - 1), _PAD, _U)
@@ -88,8 +88,8 @@ def _tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndar
 
 
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.RecordBatch]]:
-    """Rows of each language, in their order."""
-    lang = np.array(batch.column(batch.schema.get_field_index("lang")).fill_null("").to_pylist(), object)
+    """Rows of each language, in their order, under its key."""
+    lang = np.array([_lang_key(x) for x in batch.column(batch.schema.get_field_index("lang")).to_pylist()], object)
     for name in dict.fromkeys(lang):
         yield name, batch.take(pa.array(np.flatnonzero(lang == name)))
 
@@ -118,7 +118,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         merged = _tally(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
                         waiting += merged[0].size - sum(k.size for k, _ in parts)
                         parts[:] = [merged]
-        if waiting > 3_000_000:
+        if waiting > 1_000_000:
             yield from flush()
             waiting = 0
     yield from flush()
@@ -183,11 +183,8 @@ class KneserNey:
         return out
 
 
-def fit(docs: DataFrame, max_entries: int = 16_000_000) -> dict[str, KneserNey]:
-    """Model of each language.  Fails if there are more than ``max_entries`` distinct 4-grams."""
-    counted = scratch.stage(count_grams(docs), "grams")
-    if (n := counted.count()) > max_entries:
-        raise ValueError(f"{n} distinct 4-grams are over max_entries={max_entries}")
+def held(counted: DataFrame) -> dict[str, KneserNey]:
+    """Model of each language of a bounded table of counts."""
     table = counted.toArrow()
     lang, gram, n = (table.column(c).combine_chunks() for c in ("lang", "gram", "n"))
     names, gram, n = lang.dictionary_encode(), gram.to_numpy().view(_U), n.to_numpy()
@@ -195,6 +192,28 @@ def fit(docs: DataFrame, max_entries: int = 16_000_000) -> dict[str, KneserNey]:
     return {name: KneserNey(gram[code == i], n[code == i]) for i, name in enumerate(names.dictionary.to_pylist())}
 
 
+def probabilities(counted: DataFrame) -> DataFrame:
+    """(lang, gram, log_p) of the 4-grams of ``counted``: the model of ``KneserNey`` by aggregates and joins."""
+    low = lambda k: F.col("gram").bitwiseAND(F.lit((1 << (16 * k)) - 1))
+    level = {ORDER: counted}
+    for k in range(ORDER - 1, 0, -1):
+        level[k] = scratch.stage(level[k + 1].groupBy("lang", low(k).alias("gram")).agg(F.count("*").alias("n")), "level")
+    p = None
+    for k in range(1, ORDER + 1):
+        n1, n2, n3, n4 = (F.greatest(F.count_if(F.col("n") == i), F.lit(1)) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        cut = [F.least(F.greatest(d, F.lit(0.05)), F.lit(i - 0.05)).alias(f"d{i}") for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+        taken = level[k].join(level[k].groupBy("lang").agg(F.count("*").alias("types"), *cut), "lang")
+        taken = taken.select("lang", "gram", "n", "types", F.shiftrightunsigned("gram", 16).alias("context"), F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"))
+        full = taken.join(taken.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("free")), ["lang", "context"])
+        if p is None:
+            full = full.withColumn("lower", 1 / (F.col("types") + 1))
+        else:
+            full = full.withColumn("tail", low(k - 1)).join(p.select("lang", F.col("gram").alias("tail"), F.col("p").alias("lower")), ["lang", "tail"])
+        p = scratch.stage(full.select("lang", "gram", ((F.col("n") - F.col("d") + F.col("free") * F.col("lower")) / F.col("total")).alias("p")), "p")
+    return p.select("lang", "gram", F.log("p").alias("log_p"))
+
+
 def text_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """The counts of the base rules for each row of a block."""
     words = Words(data, off)
@@ -240,29 +259,52 @@ def text_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def _scores(block: pa.RecordBatch, model: KneserNey) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Counts, characters and log perplexity a character of the rows of a block of one language."""
-    data, off = buffers(block.column(block.schema.get_field_index("text")))
-    counts = text_counts(data, off)
-    key, first = grams(data, off)
-    n, row = np.diff(first), np.repeat(np.arange(first.size - 1), np.diff(first))
-    score = -np.bincount(row, model.log_prob(key), first.size - 1) if key.size else np.zeros(first.size - 1)
-    return counts, n, score / np.maximum(n, 1)
-
+def _rows_of(docs: DataFrame, shared, extra: T.StructType, keep: list[str]) -> DataFrame:
+    """``keep`` columns of ``docs`` with the counts of the base rules and, by the models ``shared``, the log perplexity a character.
 
-def judge(docs: DataFrame, models: dict[str, KneserNey]) -> DataFrame:
-    """Base counts and log perplexity a character (null without characters) of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    Without models the distinct 4-grams of each row and their counts stand in its place.
+    """
+    out = T.StructType([docs.schema[c] for c in keep] + list(extra))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = None if shared is None else shared.value
         for batch in batches:
             for name, rows in _by_language(batch):
                 for block in blocks(rows):
-                    counts, n, ppl = _scores(block, shared.value.get(name))
-                    ppl = pa.array(ppl, mask=n == 0)
-                    yield pa.RecordBatch.from_arrays([block.column(block.schema.get_field_index("doc_id")), pa.array([name] * block.num_rows), *[pa.array(counts[c].astype(np.int64)) for c in COUNTS.names[2:8]], ppl], COUNTS.names)
-
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, COUNTS)
+                    data, off = buffers(block.column(block.schema.get_field_index("text")))
+                    counts = text_counts(data, off)
+                    key, first = grams(data, off)
+                    n, row = np.diff(first), np.repeat(np.arange(first.size - 1), np.diff(first))
+                    if models is not None:
+                        score = -np.bincount(row, models[name].log_prob(key), first.size - 1) if key.size else np.zeros(first.size - 1)
+                        last = [pa.array(score / np.maximum(n, 1), mask=n == 0)]
+                    else:
+                        order = np.lexsort((key, row))
+                        edge = np.flatnonzero(np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (row[order][1:] != row[order][:-1])))) if key.size else np.zeros(0, int)
+                        lists = pa.array(np.searchsorted(row[order][edge], np.arange(first.size)).astype(np.int32))
+                        last = [pa.ListArray.from_arrays(lists, pa.StructArray.from_arrays([pa.array(key[order][edge].view(np.int64)), pa.array(np.diff(np.append(edge, key.size)))], ["gram", "m"]))]
+                    columns = [block.column(block.schema.get_field_index(c)) for c in keep]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([name] * block.num_rows), *[pa.array(counts[c].astype(np.int64)) for c in NUMBERS], *last], out.names)
+
+    return docs.mapInArrow(run, out)
+
+
+def judge(docs: DataFrame, keep: list[str], names: dict[str, str], max_entries: int) -> DataFrame:
+    """``keep`` columns of ``docs`` (lang, text, ...), and under the given names the language's key, the counts and the log perplexity a character (null without characters)."""
+    counted = scratch.stage(count_grams(docs), "grams")
+    rest = [T.StructField(names["lang"], T.StringType()), *[T.StructField(names[c], T.LongType()) for c in NUMBERS]]
+    score = names["log_ppl"]
+    if counted.count() <= max_entries:
+        shared = scratch.share(docs.sparkSession, held(counted))
+        rows = scratch.stage(_rows_of(docs, shared, T.StructType([*rest, T.StructField(score, T.DoubleType())]), keep), "rules")
+        scratch.forget(shared)
+        return rows
+    listed = T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), T.StructField("m", T.LongType())]))
+    rows = _rows_of(docs, None, T.StructType([*rest, T.StructField(score, listed)]), keep)
+    rows = scratch.stage(rows.withColumn("_rule_row", F.monotonically_increasing_id()), "rules")
+    each = rows.select("_rule_row", F.col(f"`{names['lang']}`").alias("lang"), F.explode(F.col(f"`{score}`")).alias("g")).select("_rule_row", "lang", "g.*")
+    sums = each.join(probabilities(counted), ["lang", "gram"]).groupBy("_rule_row").agg((-F.sum(F.col("m") * F.col("log_p")) / F.sum("m")).alias("_rule_ppl"))
+    return rows.drop(score).join(sums, "_rule_row", "left").withColumnRenamed("_rule_ppl", score).drop("_rule_row")
 
 
 def bands(counts: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFrame:
@@ -274,37 +316,39 @@ def bands(counts: DataFrame, width: float = WIDTH, least: float = LEAST) -> Data
     return q.select("lang", (F.col("q")[1] - side(F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + side(F.col("q")[2] - F.col("q")[1])).alias("upper"))
 
 
-def _judged(docs: DataFrame, min_words: int, max_repeat_percent: int, max_entries: int) -> tuple[DataFrame, dict[str, KneserNey]]:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    models = fit(docs, max_entries)
-    counts = scratch.stage(judge(docs, models), "rules")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return counts.withColumn("base_failed", failed), models
+def _failed(n_words: str, n_repeat_words: str, min_words: int, max_repeat_percent: int) -> F.Column:
+    return (F.col(n_words) < min_words) | (100 * F.col(n_repeat_words) > max_repeat_percent * F.col(n_words))
+
+
+def _banded(rows: DataFrame, width: float, least: float) -> DataFrame:
+    """``bands`` of (lang, log_ppl, base_failed), to be broadcast while languages are few."""
+    band = scratch.stage(bands(rows, width, least), "bands")
+    return F.broadcast(band) if band.count() <= BROADCAST_LANGUAGES else band
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, width: float = WIDTH, least: float = LEAST, max_entries: int = 16_000_000) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, width: float = WIDTH, least: float = LEAST, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """One row a document: counts, perplexity, band and ``kept``."""
-    counts, _ = _judged(docs, min_words, max_repeat_percent, max_entries)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    names = {c: c for c in ("lang", *NUMBERS, "log_ppl")}
+    counts = judge(docs, ["doc_id"], names, max_entries)
+    counts = counts.withColumn("base_failed", _failed("n_words", "n_repeat_words", min_words, max_repeat_percent))
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(True))
-    band = scratch.stage(bands(counts, width, least), "bands")
-    band = F.broadcast(band) if band.count() <= BROADCAST_LANGUAGES else band
-    return counts.join(band, "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
+    found = counts.join(_banded(counts, width, least), "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
+    return found.withColumn("lang", F.when(F.col("lang") != "", F.substring("lang", 2, 1 << 30)))
 
 
-def passing(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, width: float = WIDTH, least: float = LEAST, max_entries: int = 16_000_000) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps; no text is shuffled."""
-    counts, models = _judged(docs, min_words, max_repeat_percent, max_entries)
-    band = {r.lang: (r.lower, r.upper) for r in bands(counts, width, least).collect()}  # a row a language
-    shared = docs.sparkSession.sparkContext.broadcast((models, band))
+def passing(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, width: float = WIDTH, least: float = LEAST, max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``quality_rules`` keeps; each text is scored once.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, band = shared.value
-        for batch in batches:
-            for name, rows in _by_language(batch):
-                for block in blocks(rows):
-                    c, n, ppl = _scores(block, models.get(name))
-                    low, high = band.get(name, (-np.inf, np.inf))
-                    keep = (c["n_words"] >= min_words) & (100 * c["n_repeat_words"] <= max_repeat_percent * c["n_words"]) & ((n == 0) | ((ppl >= low) & (ppl <= high)))
-                    yield block.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    Scored rows are staged, and no text is shuffled while languages are few.
+    """
+    names = {c: f"_rule_{c}" for c in ("lang", *NUMBERS, "log_ppl")}
+    if taken := set(docs.columns) & set(names.values()):
+        raise ValueError(f"columns {sorted(taken)} are reserved")
+    rows = judge(docs, docs.columns, names, max_entries)
+    rows = rows.withColumn("_rule_failed", _failed(names["n_words"], names["n_repeat_words"], min_words, max_repeat_percent))
+    scores = rows.select(F.col(names["lang"]).alias("lang"), F.col(names["log_ppl"]).alias("log_ppl"), F.col("_rule_failed").alias("base_failed"))
+    band = _banded(scores, width, least)
+    inside = F.coalesce(F.col(names["log_ppl"]).between(F.col("b.lower"), F.col("b.upper")), F.lit(True))
+    met = rows.alias("d").join(band.alias("b"), F.col(names["lang"]) == F.col("b.lang"), "left")
+    return met.filter(~F.col("_rule_failed") & inside).select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -74,7 +74,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about ``limit`` bytes of text each."""
     _, off = buffers(batch.column(batch.schema.get_field_index(text)))
     at, n = 0, batch.num_rows

@@ -306,7 +306,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 <<
     """Write the shards of ``docs`` and return their path."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())
+        spec = scratch.share(spark, f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(spec.value)
@@ -348,7 +348,7 @@ def read_shards(spark, path: str) -> DataFrame:
     for r in totals:
         base[r.part] = before
         before += r.n
-    shared = spark.sparkContext.broadcast(base)
+    shared = scratch.share(spark, base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

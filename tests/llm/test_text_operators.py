@@ -79,8 +79,8 @@ def test_contamination(spark):
         got = {r.doc_id: r for r in decontaminate.contamination(docs, bench, block_bytes=block_bytes).collect() if r.doc_id is not None}
         assert {k for k, r in got.items() if r.contaminated} == {100, 101, 102, 103}
         assert got[100].item_id == 1 and got[100].n_tiles == 1 and got[101].n_tiles == 2
-    left = decontaminate.without_contaminated(docs, bench)
-    assert left.columns == docs.columns and left.count() == len(data) - 4
+        left = decontaminate.without_contaminated(docs, bench, block_bytes=block_bytes)
+        assert left.columns == docs.columns and left.count() == len(data) - 4
     assert decontaminate.contamination(frame(spark, []), bench).count() == 0
     assert not decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count()
 
@@ -164,6 +164,19 @@ def test_default_bands_reject_symbol_strewn_text(spark):
     assert sorted(r.doc_id for r in quality_rules.passing(docs).collect()) == sorted(kept)
 
 
+def test_models_beyond_the_bound_are_joined(spark):
+    """The same perplexities by aggregates and joins as from broadcast arrays; null and empty languages stay apart."""
+    data = awkward() + [d | {"doc_id": 500 + i, "lang": [None, "", "en"][i % 3]} for i, d in enumerate(rows([prose(60 + i, 70) + " 𝒳🧵" for i in range(60)]))]
+    docs = frame(spark, data)
+    key = lambda r: tuple(str(round(x, 9) if isinstance(x, float) else x) for x in r)
+    near, far = (quality_rules.quality_rules(docs, max_entries=n).collect() for n in (10**6, 10))
+    assert sorted(map(key, near)) == sorted(map(key, far))
+    bands = {(r.lang, r.lower) for r in near if r.doc_id and r.doc_id >= 500}
+    assert len(bands) == 3 and {x[0] for x in bands} == {None, "", "en"}
+    ids = lambda n: sorted(str(r.doc_id) for r in quality_rules.passing(docs, max_entries=n).collect())
+    assert ids(10**6) == ids(10) == sorted(str(r.doc_id) for r in near if r.kept)
+
+
 def test_probabilities_sum_to_one():
     texts = [prose(i, 80).encode() for i in range(8)]
     data = np.frombuffer(b"".join(texts), np.uint8)
