@@ -3,15 +3,20 @@
 Base patterns give spans of three kinds.  The method adds spans of kind
 ``random``: long tokens that a first-order character model of random strings
 explains better than one of ordinary identifiers, by log-likelihood ratio.
-Both models are counted from labelled samples; the ratio table has one entry a
-pair of characters, whatever the size of the samples, and stands in the plan as
-a constant.  Everything else is built-in functions on one row: no shuffle.
+It judges tokens by themselves, so a secret that a base pattern also finds has
+both spans, and one that no pattern knows is found too.  Both models are counted
+from labelled samples; the ratio table has one entry a pair of characters,
+whatever the size of the samples, and stands in the plan as a constant.
+Everything else is built-in functions on one row: no shuffle, and work in
+proportion to the text.
 
 Positions come from the gaps between matches, so they count code points.
 
 Cases: a null or empty text has no span, and the hash of the empty string;
-repeated rows are scanned each; a null ``doc_id`` is a row like any other; an
-empty table gives an empty result; other columns are ignored.
+repeated rows are scanned each; a null ``doc_id`` is a row like any other; spans
+of one start stand in the order of kinds; a text, token or run of matches of any
+length is read whole; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +28,10 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 # The shortest run that counts is part of the pattern where a shorter run can't change a longer match.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 LOW, SIDE = 43, 80  # characters "+" to "z"
+BLOCK = 256  # matches of a text whose ends are summed at once
 
 # Words of the built-in identifier samples.
 WORDS = (
@@ -59,10 +65,13 @@ def builtin_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
         .when(style == 4, F.concat(F.array_join(parts, "/"), F.lit("/"), (F.col("id") % 100).cast("string")))
         .otherwise(F.array_join(parts, ""))
     )
+    coded = F.base64(F.unhex(digest))
     chance = (
-        F.when(style < 3, F.base64(F.unhex(digest)))
-        .when(style < 5, F.translate(F.base64(F.unhex(digest)), "+/=", "-_"))
-        .otherwise(F.upper(F.substring(F.translate(F.base64(F.unhex(digest)), "+/=", ""), 1, 32)))
+        F.when(style < 2, coded)
+        .when(style == 2, F.translate(coded, "+/=", "-_"))
+        .when(style == 3, F.translate(coded, "+/=", ""))
+        .when(style == 4, F.upper(F.substring(F.translate(coded, "+/=", ""), 1, 32)))
+        .otherwise(F.substring(digest, 1, 40))
     )
     ids = spark.range(n)
     return ids.select(chance.alias("text"), F.lit(True).alias("random")).union(ids.select(plain, F.lit(False)))
@@ -82,32 +91,56 @@ def train(samples: DataFrame, smoothing: float = 0.3) -> list[int]:
     return table.agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "x"))), lambda s: s["x"])).first()[0]
 
 
-def _matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """Spans (start, kind, end, token) of the matches whose ``group`` has ``least`` characters."""
-    p = F.lit(pattern)
-    whole = F.regexp_extract_all(text, p, F.lit(0))
-    kept = F.regexp_extract_all(text, p, F.lit(group)) if group else whole
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("m"), kept.alias("g"))
-    parts = F.filter(parts, lambda x: x["m"].isNotNull())  # the last gap has no match
-    span = "struct<start: int, kind: int, end: int, token: string>"
-    begin = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), f"array<{span}>").alias("out"))
+def _ends(steps: str) -> tuple[Column, Column]:
+    """Running totals of an array column: first those before each block of ``BLOCK`` entries, then, by these (a column
+    ``{steps}_before``), all of them.  Arrays are only ever appended to within a block, or once a block."""
+    part = lambda b: F.slice(steps, b * BLOCK + 1, BLOCK)
+    number = F.when(F.size(steps) > 0, F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>").alias("out")
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("token")).cast(span))
-        return F.struct(end.alias("at"), F.when(F.length(x["g"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
 
-    found = F.aggregate(parts, begin, step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, p), found).otherwise(begin["out"])
+    def closing(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"] + x).alias("out"))
+
+    sums = F.transform(number, lambda b: F.aggregate(part(b), F.lit(0), lambda s, x: s + x))
+    before = F.aggregate(sums, F.struct(F.lit(0).alias("at"), none), step, lambda acc: acc["out"])
+    inner = F.zip_with(number, F.col(f"{steps}_before"), lambda b, at: F.aggregate(part(b), F.struct(at.alias("at"), none), closing, lambda acc: acc["out"]))
+    return before, F.flatten(inner)
+
+
+def _spans(ends: Column, whole: str, group: str, kind: int, least: int) -> Column:
+    zipped = F.arrays_zip(ends.alias("end"), F.col(whole).alias("m"), F.col(group).alias("v"))
+    long = F.filter(zipped, lambda x: F.length(x["v"]) >= least)
+    return F.transform(long, lambda x: F.struct((x["end"] - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["m"].alias("token")))
+
+
+def _found(rows: DataFrame, patterns: dict[str, tuple[str, int, int]]) -> DataFrame:
+    """``rows`` with a column of spans (start, kind, end, token) for each name of ``patterns`` (pattern, group, least):
+    matches whose group has at least ``least`` characters.  Columns are made in steps, so that each is made once."""
+    first, second, third, spans = {}, {}, {}, {}
+    for kind, (name, (pattern, group, least)) in enumerate(patterns.items()):
+        hit = F.rlike("text", F.lit(pattern))
+        none = F.array().cast("array<string>")
+        first[f"_m_{name}"] = F.when(hit, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none)
+        first[f"_g_{name}"] = F.when(hit, F.split("text", pattern, -1)).otherwise(none)
+        first[f"_v_{name}"] = F.when(hit, F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).otherwise(none)
+        second[f"_s_{name}"] = F.zip_with(F.slice(f"_g_{name}", 1, F.size(f"_m_{name}")), f"_m_{name}", lambda g, m: F.length(g) + F.length(m))
+        third[f"_s_{name}_before"], ends = _ends(f"_s_{name}")
+        spans[name] = _spans(ends, f"_m_{name}", f"_v_{name}", kind, least)
+    for step in (first, second, third, spans):
+        rows = rows.withColumns(step)
+    return rows.select("doc_id", *patterns)
 
 
 def ratio(token: Column, table: list[int]) -> Column:
     """Log-likelihood ratio of a token, in hundredths."""
     values = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
-    code = lambda i: F.ascii(F.substring(token, i, F.lit(1))) - LOW
-    steps = F.sequence(F.lit(2), F.length(token))
-    return F.aggregate(steps, F.lit(0), lambda acc, i: acc + F.coalesce(F.get(values, code(i - 1) * SIDE + code(i)), F.lit(0)))
+    codes = F.transform(F.split(token, ""), lambda c: F.ascii(c) - LOW)
+    n = F.size(codes) - 1
+    steps = F.zip_with(F.slice(codes, 1, n), F.slice(codes, 2, n), lambda a, b: F.coalesce(F.get(values, a * SIDE + b), F.lit(0)))
+    return F.aggregate(steps, F.lit(0), lambda s, x: s + x)
 
 
 def _joined(spans: Column) -> Column:
@@ -118,20 +151,10 @@ def _joined(spans: Column) -> Column:
 
 def scan(docs: DataFrame, table: list[int], threshold: int = 1000, each: int = 25) -> DataFrame:
     """Spans of each document.  A token is ``random`` if its ratio reaches ``threshold`` hundredths, and
-    ``each`` hundredths a character, and it does not touch a base span."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
-    t = F.col("text")
-    rows = rows.select(
-        "doc_id",
-        _matches(t, ASSIGN, 0, 2, 6).alias("a"),
-        _matches(t, ACCESS, 1).alias("k"),
-        _matches(t, HEX, 2).alias("h"),
-        _matches(t, TOKEN, 3).alias("r"),
-    )
-    rows = rows.withColumn("base", F.concat("a", "k", "h"))
-    free = F.filter("r", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    judged = F.filter(free, lambda m: ratio(m["token"], table) >= F.greatest(F.lit(threshold), each * F.length(m["token"])))
-    rows = rows.withColumn("extra", F.when(F.size("r") > 0, judged).otherwise(F.col("r")))
+    ``each`` hundredths a character."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = _found(rows, {"assign": (ASSIGN, 2, 6), "access": (ACCESS, 0, 0), "hex": (HEX, 0, 0), "random": (TOKEN, 0, 0)})
+    judged = F.filter("random", lambda m: ratio(m["token"], table) >= F.greatest(F.lit(threshold), each * F.length(m["token"])))
+    rows = rows.withColumns({"base": F.concat("assign", "access", "hex"), "random": F.when(F.size("random") > 0, judged).otherwise(F.col("random"))})
     n = lambda c: F.size(c).cast("long")
-    return rows.select("doc_id", n("a").alias("n_assign"), n("k").alias("n_access"), n("h").alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "extra")).alias("spans"), n("extra").alias("n_random"))
+    return rows.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "random")).alias("spans"), n("random").alias("n_random"))
