@@ -3,7 +3,7 @@
 Documents are laid out in rising ``doc_id`` order by a range partitioning; each
 task encodes its texts, gathers about ``shard_tokens`` ids and compresses them
 by Re-Pair: in each round every frequent pair of neighbouring symbols becomes a
-nonterminal.  A shard keeps its rules and the expansion length of each, so any
+nonterminal, until no pair is frequent.  A shard keeps its rules and the expansion length of each, so any
 id range is decoded without expanding the rest.  Shards are the binary column
 of a Parquet table in the shared folder: Spark's committer and readers give
 recovery from lost executors and reach any store.
@@ -14,8 +14,11 @@ lengths; symbols of ``width`` bytes; then for each row int64 ``doc_id``, uint8
 null mark, uint32 number of ids.
 
 Cases: a null or empty text has the end id alone; null ``doc_id`` come first;
-rows of equal ``doc_id`` stand in text order; an empty table gives no shard and
-an empty result; other columns are ignored.
+rows of equal ``doc_id`` stand in text order; pairs of equal frequency become
+rules together, and of overlapping pairs the first is replaced; a text of any
+length stands in one shard; strings of special tokens are ordinary text unless
+``specials`` is set; an empty table gives no shard and an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,13 +64,17 @@ def _replace(symbols: np.ndarray, base: int, least: int, room: int) -> tuple[np.
         return symbols, none
     pairs = ordered[edge[often]]
     slot = lambda k: ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-    table = np.full(1 << 18, pairs.size, np.int32)  # of pairs in one slot the most frequent stays
-    rising = np.argsort(count[often], kind="stable").astype(np.int32)
-    table[slot(pairs[rising])] = rising
+    table, mine = np.full(1 << 18, pairs.size, np.int32), slot(pairs)
+    table[mine] = np.arange(pairs.size)
+    crowded = mine[table[mine] != np.arange(pairs.size)]
+    table[crowded] = -1
     rule = table[slot(key)]
-    at = np.flatnonzero(np.append(pairs, ~key[:1])[rule] == key)
+    if crowded.size:  # slots of several pairs are looked up by search
+        unsure = np.flatnonzero(rule < 0)
+        rule[unsure] = np.minimum(np.searchsorted(pairs, key[unsure]), pairs.size - 1)
+    at = np.flatnonzero(rule < pairs.size)
+    at = at[pairs[rule[at]] == key[at]]
     rule = rule[at]
-    at, rule = at[rule < pairs.size], rule[rule < pairs.size]
     run = np.cumsum(np.concatenate(([True], at[1:] != at[:-1] + 1))) - 1 if at.size else at  # overlapping hits: every other one
     head = np.searchsorted(run, np.arange(run[-1] + 1)) if at.size else at
     use = (np.arange(at.size) - head[run]) % 2 == 0
@@ -83,12 +90,17 @@ def _replace(symbols: np.ndarray, base: int, least: int, room: int) -> tuple[np.
     return out[keep], np.stack([left, right], 1)
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = 3, least: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): rule ``i`` is symbol ``base + i`` and refers to smaller symbols."""
+def compress(ids: np.ndarray, base: int, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): rule ``i`` is symbol ``base + i`` and refers to smaller symbols.
+
+    Rounds go on until no pair of neighbours occurs ``least`` times.  While all
+    symbols fit 16 bits, rules that would widen them are left out, the rarest first.
+    """
     symbols, rules = ids.astype(_U32), [np.zeros((0, 2), _U32)]
     made = 0
-    limit = max((1 << 16) - base, 4096)
-    for _ in range(rounds):
+    limit = (1 << 16) - base
+    limit = limit if limit >= 4096 else 1 << 20  # a vocabulary that leaves no room has wide symbols
+    while made < limit:
         symbols, new = _replace(symbols, base + made, least, limit - made)
         if not new.size:
             break
@@ -215,14 +227,19 @@ def pieces(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """The tokenizer with the ids of pieces seen before; ``most`` bounds what is held."""
+    """The tokenizer with the ids of pieces seen before; ``most`` bounds what is held.
 
-    def __init__(self, spec: str, most: int = 1_500_000):
+    Strings of special tokens are ordinary text, or, with ``specials``, their ids;
+    rows that hold one are then encoded whole.
+    """
+
+    def __init__(self, spec: str, most: int = 1_000_000, specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_str(spec), most
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not specials
+        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if specials else []
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.clear()
 
@@ -263,9 +280,22 @@ class Encoder:
             self.new = HashArray(self.new.keys[:0], self.new.values[0][:0])
         return codes
 
+    def _whole(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Rows that hold the string of a special token."""
+        raw, found = data.tobytes(), set()
+        for token in self.specials:
+            at = raw.find(token)
+            while at >= 0:
+                found.add(int(np.searchsorted(off, at, "right")) - 1)
+                at = raw.find(token, at + 1)
+        return np.array(sorted(found), np.int64)
+
     def rows(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, an end id after each, and their number for each row."""
         begin = pieces(data, off)
+        if (whole := self._whole(data, off)).size:
+            inside = np.isin(np.searchsorted(off, begin, "right") - 1, whole) & ~np.isin(begin, off)
+            begin = begin[~inside]
         first = np.searchsorted(begin, off)
         end = np.append(begin[1:], data.size)
         if begin.size:  # a piece ends with its row
@@ -290,26 +320,26 @@ class Encoder:
         return out, counts + 1
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[tuple[int, bool], Encoder] = {}
 
 
-def encoder_of(spec: str) -> Encoder:
+def encoder_of(spec: str, specials: bool) -> Encoder:
     """The encoder of this worker process: it keeps known pieces from task to task."""
-    key = hash(spec)
+    key = hash(spec), specials
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(spec)
+        _ENCODERS[key] = Encoder(spec, specials=specials)
     return _ENCODERS[key]
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 << 20) -> str:
+def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 << 20, specials: bool = False) -> str:
     """Write the shards of ``docs`` and return their path."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = scratch.share(spark, f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(spec.value)
+        encoder = encoder_of(spec.value, specials)
         part = TaskContext.get().partitionId()
         held: list[tuple[np.ndarray, np.ndarray, list]] = []
         waiting = number = done = 0
@@ -324,7 +354,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 <<
             return out
 
         for batch in batches:
-            for block in blocks(batch, limit=1 << 21):
+            for block in blocks(batch, limit=1 << 20):
                 ids, counts = encoder.rows(*buffers(block.column(1)))
                 held.append((ids, counts, block.column(0).to_pylist()))
                 waiting += ids.size
@@ -364,5 +394,5 @@ def read_shards(spark, path: str) -> DataFrame:
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 << 20) -> DataFrame:
-    return read_shards(docs.sparkSession, write_shards(docs, tokenizer_path, shard_tokens))
+def token_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 << 20, specials: bool = False) -> DataFrame:
+    return read_shards(docs.sparkSession, write_shards(docs, tokenizer_path, shard_tokens, specials))

@@ -1,7 +1,9 @@
 """Secrets, contamination, shards, rules, URLs and mixing against plain versions."""
 
 import hashlib
+import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -39,10 +41,36 @@ def test_secrets(spark, table):
     assert sorted((r.n_assign, r.base_sha256) for r in got) == want
     by = {r.doc_id: r for r in got}
     assert by[103].spans == "random:4:28" and by[103].n_random == 1
-    assert by[0].spans == by[1].spans == ""
+    assert "hex:40:64,random:40:64" in by[102].spans and by[0].spans == by[1].spans == ""
     assert secrets.scan(frame(spark, []), table).count() == 0
 
 
+def test_planted_secrets_are_found_in_documents(spark, table):
+    """Keys of a generator that training never saw, of many alphabets, planted in prose: recall and false alarms."""
+    rng = random.Random(31)
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_", string.ascii_letters + string.digits + "+/", "0123456789abcdef", "0123456789ABCDEF", string.ascii_uppercase + "234567"]
+    texts, keys = [], []
+    for i in range(240):
+        key = "".join(rng.choice(alphabets[i % 6]) for _ in range(rng.choice([20, 24, 32, 40, 64])))
+        at = rng.randint(0, 20)
+        w = prose(8000 + i, 40).split(" ")
+        texts.append(" ".join([*w[:at], key, *w[at:]]))
+        keys.append((len(" ".join(w[:at])) + (at > 0), key))
+    clean = [prose(9000 + i, 80) + " /usr/share/locale/de/LC_MESSAGES com.example.service.UserAccountManagerFactory the_longest_identifier_of_all " for i in range(100)]
+    got = secrets.scan(frame(spark, rows(texts + clean)), table).orderBy("doc_id").collect()
+    hit = sum(f"random:{at}:{at + len(k)}" in r.spans.split(",") for r, (at, k) in zip(got, keys))
+    assert hit / len(keys) >= 0.97
+    assert sum(r.n_random for r in got[240:]) == 0
+
+
+def test_many_matches_and_long_tokens(spark, table):
+    rng = random.Random(32)
+    texts = ["token=abcdef1 é " * 3000, " ".join("0123456789abcdef01234567" for _ in range(1500)), "".join(rng.choice("abcXYZ0189") for _ in range(300_000))]
+    got = secrets.scan(frame(spark, rows(texts)), table).orderBy("doc_id").collect()
+    assert [r.base_sha256 for r in got] == [hashlib.sha256(base_spans(t)[1].encode()).hexdigest() for t in texts]
+    assert got[2].spans == "random:0:300000" and got[0].n_assign == 3000
+
+
 def test_models_tell_held_out_strings_apart(spark, table):
     other = secrets.builtin_samples(spark, 2200).filter("length(text) >= 20")
     said = other.select("random", (secrets.ratio(F.col("text"), table) > 0).alias("said"))
@@ -119,6 +147,20 @@ def test_token_shards(spark):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d["doc_id"], at, ids.size, zlib.crc32(ids.tobytes()))
         at += ids.size
     assert token_shards.token_shards(frame(spark, []), tokenizer_path()).count() == 0
+    odd = ["<|endoftext|> x", "a <|endoftext|>", "one two<|endoftext|>three four <|endoftext|>", "plain words stay", "<|endoftext|>", ""]
+    untouched = Tokenizer.from_file(tokenizer_path())
+    whole = token_shards.token_shards(frame(spark, rows(odd)), tokenizer_path(), specials=True).orderBy("doc_id").collect()
+    want = [np.array([*untouched.encode(t, add_special_tokens=False).ids, 0], "<u4") for t in odd]
+    assert [(r.n_tokens, r.ids_crc32) for r in whole] == [(w.size, zlib.crc32(w.tobytes())) for w in want] and 50256 in want[0]
+
+
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(9)
+    ids = np.concatenate([rng.permutation(np.repeat(np.arange(900), 20)), np.tile(np.arange(64), 80), np.zeros(4096, int)]).astype(np.uint32)
+    symbols, rules = token_shards.compress(ids, 50257, least=16)
+    key = symbols[:-1].astype(np.int64) << 32 | symbols[1:]
+    pairs, n = np.unique(key[np.concatenate(([True], key[1:] != key[:-1]))], return_counts=True)
+    assert n.max() < 16 and token_shards.expansion_lengths(rules, 50257).max() >= 64
 
 
 def rule_counts(text):
