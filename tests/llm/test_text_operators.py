@@ -1,6 +1,7 @@
 """Secrets, contamination, shards, rules, URLs and mixing against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -65,7 +66,7 @@ def test_planted_secrets_are_found_in_documents(spark, table):
 
 def test_many_matches_and_long_tokens(spark, table):
     rng = random.Random(32)
-    texts = ["token=abcdef1 é " * 3000, " ".join("0123456789abcdef01234567" for _ in range(1500)), "".join(rng.choice("abcXYZ0189") for _ in range(300_000))]
+    texts = ["token=abcdef1 é " * 3000, " ".join("0123456789abcdef01234567" for _ in range(1500)), "".join(rng.choice("ghkXYZ019") for _ in range(300_000))]
     got = secrets.scan(frame(spark, rows(texts)), table).orderBy("doc_id").collect()
     assert [r.base_sha256 for r in got] == [hashlib.sha256(base_spans(t)[1].encode()).hexdigest() for t in texts]
     assert got[2].spans == "random:0:300000" and got[0].n_assign == 3000
@@ -307,3 +308,50 @@ def test_mixing(spark):
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
     assert mixing.mix(mixing.sized(frame(spark, []))).count() == 0 and SCHEMA
     scratch.release(spark)
+
+
+def plain_rates(sizes, target, most=2):
+    """Bisection of the dual of one source."""
+    mean, low, high = sum(sizes) / len(sizes), -200.0, 200.0
+    rate = lambda x, dual: min(most, math.exp(min(dual * x / mean, 50)))
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(x * rate(x, middle) for x in sizes) < target else (low, middle)
+    return {x: rate(x, low) for x in sizes}
+
+
+def test_rates_are_exponential_tilts(spark):
+    """Rates follow the size of a document, as brute force solves the dual; with a flat rate they would not."""
+    rng = random.Random(12)
+    sizes = [(f"s{i % 6}", rng.choice([3, 10, 40, 100, 160, 1500])) for i in range(6000)]
+    hist = spark.createDataFrame(sizes, "source string, size long").groupBy(mixing._key("source").alias("_mix_key"), "size").agg(F.count("*").alias("_mix_n"))
+    sources = mixing.targets(hist.groupBy("_mix_key").agg(F.sum(F.col("_mix_n") * F.col("size")).alias("source_size")))
+    got = mixing.balance(hist, sources).collect()
+    flat = 0
+    for key in {r._mix_key for r in got}:
+        mine = [r for r in got if r._mix_key == key]
+        every = [r.size for r in mine for _ in range(r._mix_n)]
+        want = plain_rates(every, mine[0].target)
+        assert all(abs(r._mix_rate / mixing.ONE - want[r.size]) < 1e-4 for r in mine)
+        if len({r._mix_rate for r in mine}) == 1:  # only a source at its top
+            assert mine[0].target == 2 * mine[0].source_size
+            flat += 1
+    assert flat < 6
+    rows_ = mixing.mix(spark.createDataFrame([(i, *x) for i, x in enumerate(sizes)], "doc_id long, source string, size long")).collect()
+    by = {}
+    for r in rows_:
+        by.setdefault((r.source, r.size), []).append(r.copies)
+        assert 0 <= r.copies <= 2
+    assert all(max(c) - min(c) <= 1 for c in by.values())
+    for source in {r.source for r in rows_}:
+        mine = [r for r in rows_ if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 10
+
+
+def test_equal_ids_and_rows_are_mixed_each(spark):
+    data = [d | {"doc_id": None if i % 3 else 5, "source": "a", "lang": str(i % 2)} for i, d in enumerate(rows([prose(i % 10, 30) for i in range(60)]))]
+    docs = frame(spark, data)
+    out = mixing.mixed_rows(docs, weights=(1,), share=1.25)
+    assert out.columns == docs.columns and abs(out.count() - 75) <= 2
+    once = sorted(map(str, out.collect()))
+    assert once == sorted(map(str, mixing.mixed_rows(docs.repartition(7), weights=(1,), share=1.25).collect()))
