@@ -5,15 +5,18 @@ words are classes of their own, the others are classed by their last letters,
 so the model has a fixed size while word counts follow the corpus.  Baum-Welch
 counts of all training documents are summed across partitions; a document's
 score is the exact likelihood of its whole sequence by the scaled forward
-recursion.  For Baum-Welch, sequences are cut after ``SEGMENT`` tokens.
+recursion.  Long sequences are worked in pieces of ``SEGMENT`` tokens, side by
+side: the transfer matrix of each piece hands the state on at its borders, so
+counts and likelihoods are those of the whole sequence.
 
 Words of at least some count, chosen so that they are at most ``most_held``,
 are broadcast as a sorted hash array; the counts of all others come by a join.
 
 Cases: a null or empty text is one end token; a null ``doc_id`` counts as the
 empty text in the split; repeated rows are learnt and scored each; without
-training documents every word is unknown; an empty table gives an empty result;
-other columns are ignored.
+training documents every word is unknown; words equally frequent become classes
+in the order of their hashes; a text of any length is one sequence; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,80 +125,132 @@ def _sequences(model: Model, block: pa.RecordBatch) -> tuple[np.ndarray, np.ndar
     return cls, first, n, at
 
 
+def _pieces(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first token, length, row, is the first, is the last) of the pieces of sequences, in order."""
+    count = np.maximum((n + SEGMENT - 1) // SEGMENT, 1)
+    row = np.repeat(np.arange(n.size), count)
+    number = np.arange(row.size) - np.repeat(np.cumsum(count) - count, count)
+    begin = first[row] + number * SEGMENT
+    return begin, np.minimum(first[row] + n[row] - begin, SEGMENT), row, number == 0, number == count[row] - 1
+
+
+def _by_length(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by falling length, and how many are longer than each step."""
+    order = np.argsort(-length, kind="stable")
+    steps = int(length[order[0]]) if length.size else 0
+    return order, np.searchsorted(-length[order], -np.arange(steps), "left")
+
+
+def _transfer(model: Model, cls: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Matrix, up to a factor, from the state expected at the first token of each piece to that expected after its last."""
+    order, active = _by_length(length)
+    begin = begin[order]
+    emit = np.ascontiguousarray(model.emit.T)
+    product = np.tile(np.eye(STATES), (begin.size, 1, 1))
+    for t, k in enumerate(active):
+        product[:k] = (product[:k] * emit[cls[begin[:k] + t]][:, None, :]) @ model.move
+        if t % 16 == 15:
+            product[:k] /= product[:k].sum((1, 2), keepdims=True)
+    out = np.empty_like(product)
+    out[order] = product / product.sum((1, 2), keepdims=True)
+    return out
+
+
+def _borders(model: Model, cls: np.ndarray, begin: np.ndarray, length: np.ndarray, head: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distribution of the state at the first token of each piece given what stands before it, and weight of what follows by the state after its last."""
+    enter, leave = np.tile(model.start, (begin.size, 1)), np.ones((begin.size, STATES))
+    inner = np.flatnonzero(~(head & last))
+    if not inner.size:
+        return enter, leave
+    move = np.zeros((begin.size, STATES, STATES))
+    move[inner] = _transfer(model, cls, begin[inner], length[inner])
+    number = np.arange(begin.size) - np.maximum.accumulate(np.where(head, np.arange(begin.size), 0))
+    by = np.argsort(number, kind="stable")
+    edge = np.searchsorted(number[by], np.arange(int(number.max()) + 2))
+    for i in range(1, edge.size - 1):
+        at = by[edge[i] : edge[i + 1]]
+        x = np.einsum("ks,kst->kt", enter[at - 1], move[at - 1])
+        enter[at] = x / x.sum(1, keepdims=True)
+    for i in range(edge.size - 2, 0, -1):
+        at = by[edge[i] : edge[i + 1]]
+        x = np.einsum("kst,kt->ks", move[at], leave[at])
+        leave[at - 1] = x / x.sum(1, keepdims=True)
+    return enter, leave
+
+
 def expected(model: Model, cls: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Expected counts (start, moves, emissions) of the sequences ``cls[first:first + n]``."""
-    order = np.argsort(-n, kind="stable")
-    first, n = first[order], n[order]
-    steps = int(n[0]) if n.size else 0
-    active = np.searchsorted(-n, -np.arange(steps), "left")  # rows longer than t
+    begin, length, _, head, last = _pieces(first, n)
+    enter, leave = _borders(model, cls, begin, length, head, last)
+    order, active = _by_length(length)
+    begin, head, last, enter, leave = begin[order], head[order], last[order], enter[order].astype(np.float32), leave[order].astype(np.float32)
     emit = np.ascontiguousarray(model.emit.T, np.float32)
-    move, start = model.move.astype(np.float32), model.start.astype(np.float32)
+    move = model.move.astype(np.float32)
     alpha, scale = [], []
-    for t in range(steps):
-        e = emit[cls[first[: active[t]] + t]]
-        a = (start if t == 0 else alpha[-1][: active[t]] @ move) * e
+    for t, k in enumerate(active):
+        e = emit[cls[begin[:k] + t]]
+        a = (enter[:k] if t == 0 else alpha[-1][:k] @ move) * e
         s = a.sum(1, keepdims=True)
         alpha.append(a / s)
         scale.append(s)
     moves = np.zeros((STATES, STATES))
     gamma = np.zeros((cls.size, STATES), np.float32)
     beta = np.zeros((0, STATES), np.float32)
-    for t in range(steps - 1, -1, -1):
-        k = active[t]
+    for t in range(active.size - 1, -1, -1):
+        k, m = active[t], beta.shape[0]
         now = np.ones((k, STATES), np.float32)
-        if beta.shape[0]:
-            m = beta.shape[0]
-            ahead = emit[cls[first[:m] + t + 1]] * beta / scale[t + 1]
+        if m:
+            ahead = emit[cls[begin[:m] + t + 1]] * beta / scale[t + 1]
             now[:m] = ahead @ move.T
             moves += alpha[t][:m].T.astype(np.float64) @ ahead
-        gamma[first[:k] + t] = alpha[t] * now
+        cut = m + np.flatnonzero(~last[m:k])  # pieces that end here and go on in the next
+        if cut.size:
+            back = leave[cut] @ move.T
+            c = (alpha[t][cut] * back).sum(1, keepdims=True)
+            now[cut] = back / c
+            moves += alpha[t][cut].T.astype(np.float64) @ (leave[cut] / c)
+        gamma[begin[:k] + t] = alpha[t] * now
         beta = now
     moves *= model.move
     emissions = np.stack([np.bincount(cls, gamma[:, s], CLASSES) for s in range(STATES)])
-    return np.concatenate((gamma[first].sum(0), moves.ravel(), emissions.ravel()))
+    return np.concatenate((gamma[begin[head]].sum(0), moves.ravel(), emissions.ravel()))
 
 
 def likelihood(model: Model, cls: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """log10 probability of each class sequence, by the scaled forward recursion."""
-    order = np.argsort(-n, kind="stable")
-    start, length = first[order], n[order]
-    steps = int(length[0]) if n.size else 0
-    active = np.searchsorted(-length, -np.arange(steps), "left")
+    begin, length, row, head, last = _pieces(first, n)
+    enter, _ = _borders(model, cls, begin, length, head, last)
+    order, active = _by_length(length)
+    start, a = begin[order], enter[order]
     emit = np.ascontiguousarray(model.emit.T)
-    total, a = np.zeros(n.size), None
-    for t in range(steps):
-        k = active[t]
+    total = np.zeros(begin.size)
+    for t, k in enumerate(active):
         e = emit[cls[start[:k] + t]]
-        a = (model.start if t == 0 else a[:k] @ model.move) * e
+        a = (a[:k] if t == 0 else a[:k] @ model.move) * e
         s = a.sum(1)
         a /= s[:, None]
         total[:k] += np.log10(s)
-    out = np.zeros(n.size)
-    out[order] = total
-    return out
+    return np.bincount(row[order], total, n.size)
 
 
 def baum_welch(docs: DataFrame, model: Model, steps: int) -> Model:
     """``steps`` rounds of re-estimation on all of ``docs``."""
     for _ in range(steps):
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+        shared = scratch.share(docs.sparkSession, model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = np.zeros(SIZE)
             for batch in batches:
                 for block in blocks(batch, limit=1 << 20):
                     cls, first, n, _ = _sequences(shared.value, block)
-                    pieces = (n + SEGMENT - 1) // SEGMENT
-                    piece = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                    begin = np.repeat(first, pieces) + piece * SEGMENT
-                    total += expected(shared.value, cls, begin, np.minimum(np.repeat(first + n, pieces) - begin, SEGMENT))
+                    total += expected(shared.value, cls, first, n)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(total)], ["i", "x"])
 
         counts = np.zeros(SIZE)
         for r in docs.select("text").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
             counts[r.i] = r.x
         model.update(counts)
-        shared.unpersist()
+        scratch.forget(shared)
     return model
 
 
@@ -204,6 +259,7 @@ def score(docs: DataFrame, steps: int = 3, most_held: int = 2_000_000) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     train = docs.filter(in_training())
     spark = docs.sparkSession
+    scratch.small_batches(spark)
     vocabulary = scratch.stage(count_words(train), "words")
     n_docs = docs.select("doc_id").filter(in_training()).count()
     types, tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -234,7 +290,7 @@ def score(docs: DataFrame, steps: int = 3, most_held: int = 2_000_000) -> DataFr
     whole = least == 1
     base_of = lambda c: np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
     room = class_n + 0.5 * (class_types + 1)
-    shared = spark.sparkContext.broadcast((model, table, room))
+    shared = scratch.share(spark, (model, table, room))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table, room = shared.value

@@ -178,6 +178,21 @@ def test_forward_recursion_is_the_sum_over_paths():
     assert abs(got[0] - math.log10(alpha.sum())) < 1e-9
 
 
+def test_pieces_give_what_whole_sequences_give(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = hmm_scoring.Model(np.arange(9, dtype=np.uint64), np.ones(hmm_scoring.CLASSES))
+    n = np.array([1, 40, 7, 200, 64, 65, 8, 16])
+    first = np.cumsum(n) - n
+    cls = rng.integers(0, 30, int(n.sum()))
+    model.update(hmm_scoring.expected(model, cls, first, n))
+    whole = hmm_scoring.expected(model, cls, first, n), hmm_scoring.likelihood(model, cls, first, n)
+    for segment in (1, 8, 33):
+        monkeypatch.setattr(hmm_scoring, "SEGMENT", segment)
+        assert np.allclose(hmm_scoring.expected(model, cls, first, n), whole[0], rtol=1e-3, atol=1e-3)
+        assert np.allclose(hmm_scoring.likelihood(model, cls, first, n), whole[1], rtol=1e-9)
+    assert abs(whole[0][: hmm_scoring.STATES].sum() - n.size) < 1e-2  # a start a sequence
+
+
 def test_baum_welch_raises_the_likelihood():
     rng = np.random.default_rng(1)
     model = hmm_scoring.Model(np.arange(40, dtype=np.uint64), np.ones(hmm_scoring.CLASSES))
