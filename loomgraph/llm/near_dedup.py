@@ -10,8 +10,10 @@ class of most shared shingles.  Classes that this leaves in different components
 are then compared where their shared shingles still allow a link.
 
 Cases: a null or empty text has no shingles and is linked with nothing; a null
-``doc_id`` has no component and is kept; repeated rows share a component; an
-empty table gives an empty result; other columns are ignored.
+``doc_id`` has no component and is kept; rows of one ``doc_id`` are one document:
+it is linked by the text of each of them, and they share a component, whatever
+their texts; a similarity of just ``percent`` is a link; a text of any length is
+read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from .textkit import LOWER, Words, blocks, buffers, mix, shingles
 
 _U = np.uint64
 CROWD, BLOCK = 64, 512  # members from which a component is compared in blocks, and their rows
+KEY = ["n_shingles", "set_a", "set_b"]
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
@@ -59,8 +62,8 @@ def shingle_sets(block: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]
     return value, np.searchsorted(row, np.arange(block.num_rows + 1))
 
 
-def sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """Set size, hashes of the set and band hashes of each document."""
+def sketch(docs: DataFrame, k: int, bands: int, rows: int, members: bool = False) -> DataFrame:
+    """Set size, hashes of the set and band hashes of each document; with ``members`` its shingles in place of the bands."""
     n_perm = bands * rows // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,9 +90,10 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                         folded = mix(folded * _U(0x9FB21C651E98DF25) + x)
                     band[:, b] = folded
                 lists = np.zeros(block.num_rows + 1, np.int32)
-                lists[1:] = np.cumsum(np.where(size > 0, bands, 0))
+                lists[1:] = np.cumsum(size if members else np.where(size > 0, bands, 0))
+                listed = value if members else band.ravel()
                 yield pa.RecordBatch.from_arrays(
-                    [block.column(block.schema.get_field_index("doc_id")), pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(lists), pa.array(band.ravel().view(np.int64)))],
+                    [block.column(block.schema.get_field_index("doc_id")), pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(lists), pa.array(listed.view(np.int64)))],
                     ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
@@ -209,6 +213,28 @@ def _crowded(prefix: DataFrame, left: DataFrame, sets: DataFrame, percent: int)
     return rows.groupBy("other", "i", "j").applyInArrow(meet, "u long, v long")
 
 
+def _classes(named: DataFrame, clash: bool) -> DataFrame:
+    """(n_shingles, set_a, set_b, rep, node): each distinct set with its smallest document.
+
+    The document is the class's node in the graph of links, or, where it has several
+    sets, for all but the first a hash of document and set.
+    """
+    least = named.filter("n_shingles > 0").groupBy(*KEY).agg(F.min("doc_id").alias("rep"))
+    if not clash:
+        return scratch.stage(least.withColumn("node", F.col("rep")), "classes")
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy(*KEY))
+    return scratch.stage(least.withColumn("node", F.when(rank == 1, F.col("rep")).otherwise(F.xxhash64("rep", "set_a", "set_b"))), "classes")
+
+
+def _sets_of_nodes(docs: DataFrame, asked: DataFrame, k: int, clash: bool) -> DataFrame:
+    """(doc_id, members): the sets of the classes ``asked``, under their nodes."""
+    texts = docs.join(asked.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    if not clash:
+        return sets_of(texts.dropDuplicates(["doc_id"]), k)
+    keyed = sketch(texts, k, 0, 0, True).join(asked.withColumnRenamed("rep", "doc_id"), ["doc_id", *KEY])
+    return keyed.dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), F.col("bands").alias("members"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 48, rows: int = 6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each document.
 
@@ -216,16 +242,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     of (1 - 0.8**rows)**bands, 5e-7 by default.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    scratch.small_batches(docs.sparkSession)
     drawn = scratch.stage(sketch(docs, k, bands, rows), "sketch")
     named = drawn.filter("doc_id is not null")
-    key = ["n_shingles", "set_a", "set_b"]
-    classes = named.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    member = named.join(classes.select(F.col("rep").alias("doc_id"), *key), ["doc_id", *key], "left_semi")
-    exploded = member.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct()
-    several = exploded.groupBy("bucket").agg(F.min("v").alias("x"), F.max("v").alias("y")).filter("x < y").select("bucket")
-    shared = scratch.stage(exploded.join(several, "bucket"), "shared")
-    asked = docs.join(shared.select(F.col("v").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch.stage(sets_of(asked, k), "sets")
+    differs = lambda c: F.min(c) < F.max(c)
+    several = named.groupBy("doc_id").agg((differs("set_a") | differs("set_b")).alias("d")).filter("d").select("doc_id")
+    several = scratch.stage(several, "several")
+    clash = not several.isEmpty()
+    classes = _classes(named, clash)
+    member = named.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *KEY])
+    exploded = member.select(F.col("node").alias("v"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct()
+    several_in = exploded.groupBy("bucket").agg(F.min("v").alias("x"), F.max("v").alias("y")).filter("x < y").select("bucket")
+    shared = scratch.stage(exploded.join(several_in, "bucket"), "shared")
+    asked = classes.join(shared.select(F.col("v").alias("node")).distinct(), "node", "left_semi")
+    sets = scratch.stage(_sets_of_nodes(docs, asked, k, clash), "sets")
 
     # A shingle that no other candidate has is in no intersection: with s = n - alone, the
     # intersection of two sets is at most the smaller s.  Pairs that this excludes are not made.
@@ -243,10 +273,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     left = scratch.stage(left.join(left.groupBy("comp").agg(F.count("*").alias("crowd")), "comp"), "left")
     prefix = _prefix(left, sets, percent)
     more = confirm(scratch.stage(_few(prefix, percent), "few"), sets, percent).union(_crowded(prefix, left, sets, percent))
-    linked = components(scratch.stage(links.union(more), "all_links"))
-
-    named_class = classes.join(linked.withColumnsRenamed({"node": "rep"}), "rep", "left")
-    place = named_class.select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = drawn.select("doc_id", *key).join(place, key, "left")
+    every = links.union(more)
+    if clash:  # the texts of one id are one document
+        mine = named.join(several, "doc_id", "left_semi").join(classes.drop("rep"), KEY).select("doc_id", F.col("node").alias("u")).distinct()
+        every = every.union(mine.join(mine.groupBy("doc_id").agg(F.min("u").alias("v")), "doc_id").select("u", "v"))
+    linked = components(scratch.stage(every, "all_links"))
+
+    placed_class = classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if clash:  # named by a document again
+        placed_class = placed_class.join(placed_class.groupBy("component").agg(F.min("rep").alias("least")), "component").withColumn("component", F.col("least"))
+    out = drawn.select("doc_id", *KEY).join(placed_class.select(*KEY, F.col("component").alias("component_id")), KEY, "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    if clash:
+        own = out.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("own"))
+        out = out.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("own", "component_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -55,6 +55,19 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    """Rows of one id are one document, in whatever order the rows come."""
+    x, y, z = prose(1200, 90), prose(1201, 90), prose(1202, 90)
+    near = lambda t, w: " ".join([*t.split(" ")[:-1], w])
+    data = [(5, x), (5, y), (7, near(x, "seven")), (9, near(y, "nine")), (3, z), (11, z), (11, ""), (12, None), (12, near(y, "twelve")), (13, prose(1203, 90)), (None, x)]
+    schema = "doc_id long, text string"
+    want = {3: 3, 5: 5, 7: 5, 9: 5, 11: 3, 12: 5, 13: 13, None: None}
+    for seed in range(3):
+        random.Random(seed).shuffle(data)
+        got = near_dedup.near_duplicates(spark.createDataFrame(data, schema)).collect()
+        assert sorted(str((r.doc_id, r.component_id, r.kept)) for r in got) == sorted(str((d, want[d], want[d] == d)) for d, _ in data)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
