@@ -46,13 +46,21 @@ _U32 = np.uint32
 # ---------------------------------------------------------------- Re-Pair
 
 
-def _replace(symbols: np.ndarray, base: int, least: int, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """One round: new symbols, and the (left, right) of the rules it made."""
+def _replace(symbols: np.ndarray, base: int, least: int, room: int, fresh: int) -> tuple[np.ndarray, np.ndarray]:
+    """One round: new symbols, and the (left, right) of the rules it made for frequent pairs with a symbol of at least ``fresh``."""
     none = np.zeros((0, 2), _U32)
     if symbols.size < 2:
         return symbols, none
     narrow = int(symbols.max()) < 1 << 16
-    key = (symbols[:-1] << _U32(16)) | symbols[1:] if narrow else (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+    left, right = symbols[:-1], symbols[1:]
+    place = None
+    if fresh:
+        late = symbols >= fresh
+        place = np.flatnonzero(late[:-1] | late[1:])
+        left, right = left[place], right[place]
+        if not place.size:
+            return symbols, none
+    key = (left << _U32(16)) | right if narrow else (left.astype(np.uint64) << np.uint64(32)) | right
     ordered = np.sort(key)
     edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
     edge = np.concatenate(([0], edge))
@@ -75,6 +83,7 @@ def _replace(symbols: np.ndarray, base: int, least: int, room: int) -> tuple[np.
     at = np.flatnonzero(rule < pairs.size)
     at = at[pairs[rule[at]] == key[at]]
     rule = rule[at]
+    at = at if place is None else place[at]
     run = np.cumsum(np.concatenate(([True], at[1:] != at[:-1] + 1))) - 1 if at.size else at  # overlapping hits: every other one
     head = np.searchsorted(run, np.arange(run[-1] + 1)) if at.size else at
     use = (np.arange(at.size) - head[run]) % 2 == 0
@@ -93,17 +102,23 @@ def _replace(symbols: np.ndarray, base: int, least: int, room: int) -> tuple[np.
 def compress(ids: np.ndarray, base: int, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rule ``i`` is symbol ``base + i`` and refers to smaller symbols.
 
-    Rounds go on until no pair of neighbours occurs ``least`` times.  While all
+    Rounds go on until no pair of neighbours occurs ``least`` times.  A round after
+    a round needs to look only at pairs with one of its new symbols.  While all
     symbols fit 16 bits, rules that would widen them are left out, the rarest first.
     """
     symbols, rules = ids.astype(_U32), [np.zeros((0, 2), _U32)]
     made = 0
     limit = (1 << 16) - base
     limit = limit if limit >= 4096 else 1 << 20  # a vocabulary that leaves no room has wide symbols
+    fresh = 0
     while made < limit:
-        symbols, new = _replace(symbols, base + made, least, limit - made)
+        symbols, new = _replace(symbols, base + made, least, limit - made, fresh)
         if not new.size:
-            break
+            if not fresh:
+                break
+            fresh = 0  # what overlaps left over: a last look at all pairs
+            continue
+        fresh = base + made
         rules.append(new)
         made += len(new)
     return symbols, np.concatenate(rules)
@@ -146,21 +161,16 @@ class Shard:
             return out
 
         kind = f"<u{width}"
-        self.rules = take(kind, 2 * n_rules).reshape(-1, 2).astype(np.int64)
-        self.lengths = take("<u4", n_rules).astype(np.int64)
-        self.symbols = take(kind, n_symbols).astype(np.int64)
+        self.rules = take(kind, 2 * n_rules).reshape(-1, 2).astype(np.int32)
+        self.lengths = take("<u4", n_rules).astype(np.int32)
+        self.symbols = take(kind, n_symbols).astype(np.int32)
         numbers, nulls = take("<i8", self.n_rows), take("u1", self.n_rows)
         self.doc_ids = pa.array(numbers, mask=nulls.astype(bool))
         self.counts = take("<u4", self.n_rows).astype(np.int64)
-        self.start = np.concatenate(([0], np.cumsum(self._length(self.symbols))))
+        self.size = np.concatenate((np.ones(self.base, np.int32), self.lengths))  # of each symbol
+        self.start = np.concatenate(([0], np.cumsum(self.size[self.symbols], dtype=np.int64)))
         self._flat: tuple[np.ndarray, np.ndarray] | None = None
 
-    def _length(self, symbols: np.ndarray) -> np.ndarray:
-        out = np.ones(symbols.size, np.int64)
-        rule = symbols >= self.base
-        out[rule] = self.lengths[symbols[rule] - self.base]
-        return out
-
     def _expanded(self) -> tuple[np.ndarray, np.ndarray]:
         """Terminals of all rules end to end, and where each begins."""
         if self._flat is None:
@@ -170,7 +180,7 @@ class Shard:
                 first = np.cumsum(1 + rule) - (1 + rule)
                 wide[first[rule]], wide[first[rule] + 1] = self.rules[flat[rule] - self.base].T
                 flat = wide
-            self._flat = flat, np.cumsum(self.lengths) - self.lengths
+            self._flat = flat, np.cumsum(self.lengths, dtype=np.int32) - self.lengths
         return self._flat
 
     def read(self, start: int = 0, stop: int | None = None) -> np.ndarray:
@@ -182,12 +192,13 @@ class Shard:
         high = int(np.searchsorted(self.start, stop, "left"))
         part = self.symbols[low:high]
         flat, begin = self._expanded()
-        length = self._length(part)
+        length = self.size[part]
         rule = part >= self.base
-        source = np.arange(part.size) + flat.size  # terminals stand after the expansions
+        source = np.arange(flat.size, flat.size + part.size, dtype=np.int32)  # terminals stand after the expansions
         source[rule] = begin[part[rule] - self.base]
-        ends = np.cumsum(length)
-        index = np.repeat(source - (ends - length), length) + np.arange(ends[-1])
+        ends = np.cumsum(length, dtype=np.int32)
+        index = np.repeat(source - (ends - length), length)
+        index += np.arange(ends[-1], dtype=np.int32)
         ids = np.concatenate((flat, part))[index]
         skip = start - int(self.start[low])
         return ids[skip : skip + stop - start].astype(_U32)
@@ -199,13 +210,17 @@ _INK = np.zeros(256, bool)
 _INK[0x21:0x7F] = True
 _LETTER_LEAD = np.zeros(256, bool)
 _LETTER_LEAD[0xC3:0xDA] = True
+_WORD = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
+_POINT = _INK & ~_WORD
+_POINT[0x27] = False  # an apostrophe may belong to what follows
 
 
 def pieces(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Starts of pieces that the pre-tokenizer never joins.
 
     A cut stands before a lone space or line feed between two characters that
-    are visible ASCII or two-byte letters, where every pre-token ends.
+    are visible ASCII or two-byte letters, and before an ASCII mark after a letter
+    or digit of Latin-1: a pre-token ends at both, whatever stands around them.
     """
     gap = (data == 32) | (data == 10)
     after = _INK[data] | _LETTER_LEAD[data]
@@ -214,6 +229,9 @@ def pieces(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     cut = np.zeros(data.size, bool)
     if data.size > 2:
         cut[1:-1] = gap[1:-1] & before[:-2] & after[2:]
+        word = _WORD[data]
+        word[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        mark = _POINT[data[1:]] & word[:-1]
     heads = off[:-1][np.diff(off) > 0]
     tails = off[1:][np.diff(off) > 0] - 1
     cut[heads] = True
@@ -223,6 +241,8 @@ def pieces(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     second = heads[heads + 1 < data.size] + 1
     second = second[~np.isin(second, heads)]
     cut[second] &= before[second - 1]
+    if data.size > 2:
+        cut[1:] |= mark
     return np.flatnonzero(cut)
 
 
@@ -233,7 +253,7 @@ class Encoder:
     rows that hold one are then encoded whole.
     """
 
-    def __init__(self, spec: str, most: int = 1_000_000, specials: bool = False):
+    def __init__(self, spec: str, most: int = 1_500_000, specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -354,7 +374,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 <<
             return out
 
         for batch in batches:
-            for block in blocks(batch, limit=1 << 20):
+            for block in blocks(batch, limit=1 << 21):
                 ids, counts = encoder.rows(*buffers(block.column(1)))
                 held.append((ids, counts, block.column(0).to_pylist()))
                 waiting += ids.size
