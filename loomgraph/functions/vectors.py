@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import LEGAL
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -52,7 +54,10 @@ def hash_embedding(dim: int = 256):
     return embed
 
 
-_LEGAL = re.compile(r"\b(inc|incorporated|ltd|limited|llc|plc|corp|corporation|co|gmbh|sa|nv|ag|the)\b")
+#: Embeddings by name: a maker of a column function from the dimension.
+EMBEDDINGS = {"hash": hash_embedding}
+
+_LEGAL = re.compile(LEGAL.removeprefix("(?U)"))
 
 
 def plain_name(name: str) -> str:

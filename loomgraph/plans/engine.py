@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +21,7 @@ from ..sources.snapshots import Snapshots
 
 @dataclass
 class Settings:
+    # The defaults.
     chunk_size: int = 400
     chunk_overlap: int = 0
     tau_sim: float = 0.86
@@ -40,6 +40,8 @@ class Settings:
     price_out: float = 25.0
     price_embed: float = 0.02
     model: str = "rules"
+    embedding: str = "hash"
+    clustering: str = "louvain"
     version: str = "v1"
 
 
@@ -69,9 +71,9 @@ def _views(mention: DataFrame, support: DataFrame, identity: DataFrame) -> tuple
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, model=rules.extract):
+    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, model=None):
         self.spark, self.settings, self.state = ship(spark), settings or Settings(), Snapshots(spark, root)
-        self._extract, self._embed = rules.extractor(model), vectors.hash_embedding(self.settings.dim)
+        self._extract, self._embed = model or rules.MODELS[self.settings.model], vectors.EMBEDDINGS[self.settings.embedding](self.settings.dim)
 
     # ------------------------------------------------------------ reading
     def table(self, name: str) -> DataFrame:
@@ -144,7 +146,7 @@ class Engine:
         keyed = added.withColumn("cache_key", keys.extraction_key(cfg.version, cfg.model, F.col("text")))
         known = self.table("cache")
         misses = keyed.join(known, "cache_key", "left_anti").select("cache_key", "text").dropDuplicates(["cache_key"])
-        fresh = cut(misses.select("cache_key", F.to_json(self._extract("text")).alias("extraction")))
+        fresh = cut(misses.select("cache_key", F.to_json(self._extract(F.col("text"))).alias("extraction")))
         full = keyed.join(known.unionByName(fresh), "cache_key").withColumn("x", F.from_json("extraction", rules.EXTRACTION))
         tokens_in = text.model_tokens(F.col("text"))
         cost = full.join(fresh.select("cache_key", F.lit(False).alias("hit")).dropDuplicates(), "cache_key", "left").select(F.lit("extract").alias("operation"), tokens_in.alias("tokens_in"), text.model_tokens(F.col("extraction")).alias("tokens_out"), F.coalesce("hit", F.lit(True)).alias("cache_hit"), "doc_id")
@@ -325,11 +327,7 @@ class Engine:
         rels = inner.groupBy("comm").agg(F.transform(F.array_sort(F.collect_list(F.struct("relation_id", F.concat("a", F.lit(" --"), "kind", F.lit("--> "), "b").alias("line")))), lambda s: s["line"]).alias("relations"))
         every = members.groupBy("comm").agg(F.array_sort(F.collect_set("entity_id")).alias("covered"))
 
-        @F.pandas_udf("struct<title: string, summary: string>")
-        def template(e: pd.Series, r: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([rules.summarise(list(x), list(y) if y is not None else []) for x, y in zip(e, r, strict=True)], columns=["title", "summary"])
-
-        made = ents.join(rels, "comm", "left").join(every, "comm").withColumn("s", template("entities", "relations"))
+        made = ents.join(rels, "comm", "left").join(every, "comm").withColumn("s", rules.summarise(F.col("entities"), F.col("relations")))
         made = cut(made.select("comm", "covered", F.col("s.title").alias("t"), F.col("s.summary").alias("y"), F.concat_ws("\n", "entities", "relations").alias("prompt")).withColumn("vec", self._embed(F.concat_ws("\n", "t", "y"))))
         base = self.table("communities").join(made, "comm", "left")
         done = F.col("t").isNotNull()
@@ -346,7 +344,7 @@ class Engine:
         weight = F.when(F.col("weight") * F.col("support") == 0, 1.0).otherwise(F.col("weight") * F.col("support"))
         edges = rel.select(F.col("source_id").alias("u"), F.col("target_id").alias("v"), weight.alias("w"))
         old = self.table("membership")
-        clusters = graph.louvain(edges, self.settings.resolution).withColumnsRenamed({"node": "name", "community": "new"})
+        clusters = graph.CLUSTERINGS[self.settings.clustering](edges, self.settings.resolution).withColumnsRenamed({"node": "name", "community": "new"})
         alone = self.table("mention").select(F.col("entity_id").alias("name")).distinct().join(clusters.select("name"), "name", "left_anti")
         clusters = cut(clusters.unionByName(alone.withColumn("new", F.col("name"))))
         matrix = graph.overlap(old.select(F.col("entity_id").alias("name"), F.col("comm").alias("old")), clusters)
@@ -405,16 +403,12 @@ class Engine:
         citations = docs.groupBy("q").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rn", "doc"))), lambda s: s["doc"]), 1, 10).alias("citations"))
         context = kept.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "rn", "line"))), lambda s: s["line"]), "\n").alias("context"))
 
-        @F.pandas_udf("string")
-        def reply(q: pd.Series, c: pd.Series) -> pd.Series:
-            return pd.Series([rules.answer(x, y) for x, y in zip(q, c, strict=True)])
-
         out = asked.select(F.col("question").alias("q")).join(context, "q", "left").join(citations, "q", "left")
         if stale is not None:
             out = out.join(stale, "q", "left")
         else:
             out = out.withColumn("stale", F.lit(0).cast("long"))
-        return out.select(F.col("q").alias("question"), reply("q", F.coalesce("context", F.lit(""))).alias("answer"), "citations", F.coalesce("stale", F.lit(0)).alias("stale_communities"), "context")
+        return out.select(F.col("q").alias("question"), rules.answer(F.col("q"), F.col("context")).alias("answer"), "citations", F.coalesce("stale", F.lit(0)).alias("stale_communities"), "context")
 
     # ------------------------------------------------------------ reset
     def clear_index(self) -> None:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,17 +52,13 @@ class System:
         return self.engine.query(questions.select("question"))
 
     def _flat(self, questions: DataFrame) -> DataFrame:
-        embed = vectors.hash_embedding(self.engine.settings.dim)
+        embed = self.engine._embed
         asked = questions.select(F.col("question").alias("q"), embed("question").alias("qe"))
         chunks = self.engine.table("chunks")
         top = ranking.top_k(asked, chunks.select(F.col("chunk_id").alias("vec_id"), "embedding"), self.engine.settings.top_entities, others_only=False)
         lines = top.join(chunks.select(F.col("chunk_id").alias("vec_id"), "text"), "vec_id").groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", text.flat(F.col("text")).alias("t")))), lambda s: s["t"]), "\n").alias("context"))
 
-        @F.pandas_udf("string")
-        def reply(q: pd.Series, c: pd.Series) -> pd.Series:
-            return pd.Series([rules.answer(x, y) for x, y in zip(q, c, strict=True)])
-
-        return asked.select("q").join(lines, "q", "left").select(F.col("q").alias("question"), reply("q", F.coalesce("context", F.lit(""))).alias("answer"), F.lit(0).cast("long").alias("stale_communities"))
+        return asked.select("q").join(lines, "q", "left").select(F.col("q").alias("question"), rules.answer(F.col("q"), F.col("context")).alias("answer"), F.lit(0).cast("long").alias("stale_communities"))
 
     def stats(self) -> DataFrame:
         return self.engine.stats()
