@@ -73,12 +73,12 @@ def count_words(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(e.astype(np.int32)), pa.array(n)], ["h", "ending", "n"])
 
         for batch in batches:
-            for block in blocks(batch, limit=1 << 20):
+            for block in blocks(batch, limit=1 << 19):
                 h, e, _ = _words(block)
                 held.append(merged([(h, e, np.ones(h.size, np.int64))]))
                 if len(held) == 4:
                     held[:] = [merged(held)]
-                if held[0][0].size > 2_000_000:
+                if held[0][0].size > 500_000:
                     yield out()
         if held:
             yield out()
@@ -241,7 +241,7 @@ def baum_welch(docs: DataFrame, model: Model, steps: int) -> Model:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = np.zeros(SIZE)
             for batch in batches:
-                for block in blocks(batch, limit=1 << 20):
+                for block in blocks(batch, limit=1 << 19):
                     cls, first, n, _ = _sequences(shared.value, block)
                     total += expected(shared.value, cls, first, n)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(total)], ["i", "x"])
@@ -254,7 +254,7 @@ def baum_welch(docs: DataFrame, model: Model, steps: int) -> Model:
     return model
 
 
-def score(docs: DataFrame, steps: int = 3, most_held: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, steps: int = 3, most_held: int = 1_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     train = docs.filter(in_training())
@@ -295,7 +295,7 @@ def score(docs: DataFrame, steps: int = 3, most_held: int = 2_000_000) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table, room = shared.value
         for batch in batches:
-            for block in blocks(batch, limit=1 << 20):
+            for block in blocks(batch, limit=1 << 19):
                 cls, first, n, at = _sequences(model, block)
                 row = np.repeat(np.arange(n.size), n)
                 h, _, words = _words(block)
