@@ -97,6 +97,19 @@ def sweep_orphans(identity: DataFrame, mention: DataFrame) -> DataFrame:
     return identity.join(mention.select("name").distinct(), "name", "left_anti")
 
 
+def fold(men: DataFrame, into: DataFrame) -> DataFrame:
+    """Mentions (name, chunk_id, …) under the names of ``into`` (name, into); a chunk that has both keeps one row, the first by its old name."""
+    moved = men.join(into, "name", "left").withColumn("_to", F.coalesce("into", "name"))
+    rank = F.row_number().over(Window.partitionBy("_to", "chunk_id").orderBy("name"))
+    return moved.withColumn("_rank", rank).filter("_rank = 1").withColumn("name", F.col("_to")).select(*men.columns)
+
+
 def merge_into(men: DataFrame, old: str, new: str) -> DataFrame:
     """Mentions with one name folded into another; a chunk that has both keeps one row."""
-    return men.withColumn("name", F.when(F.col("name") == old, new).otherwise(F.col("name"))).dropDuplicates(["name", "chunk_id"])
+    return fold(men, men.filter(F.col("name") == old).select("name", F.lit(new).alias("into")).distinct())
+
+
+def chunks_in_order(chunks: DataFrame) -> DataFrame:
+    """(doc_id, chunk_ids): the chunks of each document in order of place."""
+    placed = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))).alias("c"))
+    return placed.select("doc_id", F.col("c.chunk_id").alias("chunk_ids"))

@@ -569,3 +569,6 @@ def star_revenue(spark, d):
 @query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
 def star_idle_customers(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+from . import model_queries  # noqa: E402, F401  registers its queries here

@@ -86,6 +86,25 @@ class Engine:
     def relations(self) -> DataFrame:
         return _views(self.table("mention"), self.table("support"), self.table("identity"))[1]
 
+    def document(self, doc_id: str) -> DataFrame:
+        return self.table("documents").filter(F.col("doc_id") == doc_id)
+
+    def document_by_hash(self, content: str) -> DataFrame:
+        """The active document of this content with the smallest id."""
+        same = F.col("content_hash") == keys.content_hash(F.lit(content))
+        return self.table("documents").filter(same & (F.col("status") == "active")).orderBy("doc_id").limit(1)
+
+    def chunks_of(self, doc_id: str) -> DataFrame:
+        return self.table("chunks").filter(F.col("doc_id") == doc_id).orderBy("pos", "chunk_id")
+
+    def entities_of(self, chunk_id: str) -> DataFrame:
+        """The entities that a chunk mentions."""
+        return self.entities().join(self.table("mention").filter(F.col("chunk_id") == chunk_id).select("entity_id").distinct(), "entity_id", "left_semi").orderBy("entity_id")
+
+    def relations_of(self, entity_id: str) -> DataFrame:
+        """The relations that have an entity at either end."""
+        return self.relations().filter((F.col("source_id") == entity_id) | (F.col("target_id") == entity_id)).orderBy("relation_id")
+
     def documents(self, status: str | None = None) -> DataFrame:
         docs = self.table("documents")
         docs = docs if status is None else docs.filter(F.col("status") == status)
@@ -113,7 +132,7 @@ class Engine:
         return c.groupBy("operation").agg(F.count("*").alias("calls"), F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"), F.round(F.sum("usd"), 6).alias("usd"), F.count_if("cache_hit").alias("cache_hits"))
 
     def resolutions(self, limit: int = 200) -> DataFrame:
-        return self.table("resolutions").orderBy(F.desc("seq")).limit(limit)
+        return self.table("resolutions").orderBy(F.desc("seq"), "chunk_id", "candidate", "type").limit(limit)
 
     def graph(self, limit: int = 300) -> DataFrame:
         rel = self.relations().select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "support")
@@ -309,8 +328,10 @@ class Engine:
             return 0
         return self._summarise(graph.dirty_batch(self.table("communities"), limit))
 
-    def drain(self) -> int:
-        return self._summarise(graph.dirty_batch(self.table("communities"), None))
+    def drain(self, max_batches: int | None = None) -> int:
+        """Summaries of all dirty communities, or of as many batches; returns how many."""
+        limit = None if max_batches is None else max_batches * self.settings.dirty_batch
+        return 0 if limit == 0 else self._summarise(graph.dirty_batch(self.table("communities"), limit))
 
     def _summarise(self, batch: DataFrame) -> int:
         cfg = self.settings
@@ -385,7 +406,7 @@ class Engine:
                 reached = near.join(known.filter(F.col("hop") == hop - 1), "name").groupBy("q", F.col("other").alias("name")).agg(F.max(gain).alias("score")).withColumn("hop", F.lit(hop))
                 known = known.unionByName(reached).groupBy("q", "name").agg(F.max("score").alias("score"), F.min("hop").alias("hop"))
             order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 5)), "name"))
-            got = cut(known.withColumn("rank", order).filter(F.col("rank") <= cfg.top_entities).withColumnRenamed("name", "entity_id").join(ent.drop("embedding"), "entity_id"))
+            got = cut(known.withColumn("rank", order).filter(F.col("rank") <= 2 * cfg.top_entities).withColumnRenamed("name", "entity_id").join(ent.drop("embedding"), "entity_id"))
             names = ent.select(F.col("entity_id").alias("other"), F.col("name").alias("other_name"))
             edges = near.withColumnRenamed("name", "entity_id").join(names, "other").groupBy("entity_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("relation_id", F.concat("kind", F.lit(" -> "), "other_name").alias("s")))), lambda s: s["s"]), 1, 6).alias("edges"))
             shown = F.concat(F.lit("- "), F.col("name"), F.lit(" ("), F.col("type"), F.lit("): "), text.flat(F.col("description")), F.when(F.size("edges") > 0, F.concat(F.lit(" [relations: "), F.array_join("edges", "; "), F.lit("]"))).otherwise(""))
