@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .textkit import MARKS, HashArray, Words, blocks, buffers, mix, powers, shingles
+from .workers import tidy
 
 _U = np.uint64
 
@@ -172,7 +173,7 @@ def _covered(docs: DataFrame, items: Items) -> DataFrame:
                 coverage, item, n = held.best(word, words, block.num_rows)
                 yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(item, pa.int64()), pa.array(coverage), pa.array(n)], ["doc_id", "text", "item_id", "coverage", "n_tiles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, text string, {COVER}")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id long, text string, {COVER}")
 
 
 def _keyed(rows: DataFrame, *rest: str) -> DataFrame:
@@ -216,7 +217,7 @@ def _clean(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                 word, words = _words(block.column(block.schema.get_field_index("text")))
                 yield block.filter(pa.array(held.best(word, words, block.num_rows)[0] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .textkit import LOWER, HashArray, Words, blocks, buffers, mix
+from .workers import tidy
 
 STATES, OWN, ENDINGS = 6, 448, 63
 CLASSES = OWN + ENDINGS + 1  # the last is the end token
@@ -83,7 +84,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    each = docs.select("text").mapInArrow(run, "h long, ending int, n long")
+    each = docs.select("text").mapInArrow(tidy(run), "h long, ending int, n long")
     return each.groupBy("h").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
 
 
@@ -247,7 +248,7 @@ def baum_welch(docs: DataFrame, model: Model, steps: int) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(total)], ["i", "x"])
 
         counts = np.zeros(SIZE)
-        for r in docs.select("text").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+        for r in docs.select("text").mapInArrow(tidy(run), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
             counts[r.i] = r.x
         model.update(counts)
         scratch.forget(shared)
@@ -314,7 +315,7 @@ def score(docs: DataFrame, steps: int = 3, most_held: int = 1_000_000) -> DataFr
                 known = np.bincount(row, (c > 0) & here, n.size).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([_column(block, "doc_id"), pa.array(n.astype(np.int64)), pa.array(known), pa.array(base), pa.array(full), pa.ListArray.from_arrays(pa.array(lists), tail)], ["doc_id", "n_tokens", "n_known", "base_score", "score", "tail"])
 
-    scored = docs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, tail array<struct<h: long, c: int>>")
+    scored = docs.mapInArrow(tidy(run), "doc_id long, n_tokens long, n_known long, base_score double, score double, tail array<struct<h: long, c: int>>")
     if not whole:
         scored = scratch.stage(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
         rest = scored.select("row", F.explode("tail").alias("t")).select("row", "t.h", "t.c").groupBy("row", "h", "c").agg(F.count("*").alias("m"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .components import components
 from .textkit import LOWER, Words, blocks, buffers, mix, shingles
+from .workers import tidy
 
 _U = np.uint64
 CROWD, BLOCK = 64, 512  # members from which a component is compared in blocks, and their rows
@@ -97,7 +98,7 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int, members: bool = False
                     ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SKETCH)
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -109,7 +110,7 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
                 value, first = shingle_sets(block, k)
                 yield pa.RecordBatch.from_arrays([block.column(block.schema.get_field_index("doc_id")), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value.view(np.int64)))], ["doc_id", "members"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, members array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, members array<long>")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

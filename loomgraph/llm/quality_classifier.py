@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .textkit import LOWER, MARKS, SPACE, Words, blocks, buffers, per_row
+from .workers import tidy
 
 BUCKETS = 1 << 16
 LAYOUT = 8
@@ -138,7 +139,7 @@ def _features(rows: DataFrame) -> DataFrame:
                 shapes = pa.ListArray.from_arrays(pa.array(np.arange(block.num_rows + 1, dtype=np.int32) * LAYOUT), pa.array(shape.ravel()))
                 yield pa.RecordBatch.from_arrays([block.column(0), lists, shapes, pa.array(_names(block, "lang")), pa.array(_names(block, "source"))], ["doc_id", "words", "layout", "lang", "source"])
 
-    return rows.select("doc_id", "text", "lang", "source").mapInArrow(run, "doc_id long, words array<int>, layout array<double>, lang int, source int")
+    return rows.select("doc_id", "text", "lang", "source").mapInArrow(tidy(run), "doc_id long, words array<int>, layout array<double>, lang int, source int")
 
 
 def _gathered(docs: DataFrame, chosen: DataFrame) -> list:
@@ -162,7 +163,7 @@ def _scores(docs: DataFrame, model: tuple) -> DataFrame:
                 codes = meta.codes(layout(data, off), _names(block, "lang"), _names(block, "source"))
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array(word), pa.array(meta_w[codes].sum(1) + meta_b)], ["doc_id", "word_margin", "meta_margin"])
 
-    scored = scratch.stage(docs.select("doc_id", "text", "lang", "source").mapInArrow(run, "doc_id long, word_margin double, meta_margin double"), "margins")
+    scored = scratch.stage(docs.select("doc_id", "text", "lang", "source").mapInArrow(tidy(run), "doc_id long, word_margin double, meta_margin double"), "margins")
     scratch.forget(shared)
     return scored
 

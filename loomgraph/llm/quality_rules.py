@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from . import scratch
 from .textkit import HashArray, Words, blocks, buffers, mix, per_row, prefix_hash, shingles, span_hash
+from .workers import tidy
 
 ORDER = 4
 WIDTH, LEAST = 6.0, 0.02  # of the bands, in quartile distances and in nats a character
@@ -126,7 +127,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_grams(docs: DataFrame) -> DataFrame:
     """Counts (lang, gram, n) of the character 4-grams of all documents."""
-    counted = docs.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    counted = docs.select("lang", "text").mapInArrow(tidy(_count), "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -286,7 +287,7 @@ def _rows_of(docs: DataFrame, shared, extra: T.StructType, keep: list[str]) -> D
                     columns = [block.column(block.schema.get_field_index(c)) for c in keep]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array([name] * block.num_rows), *[pa.array(counts[c].astype(np.int64)) for c in NUMBERS], *last], out.names)
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(tidy(run), out)
 
 
 def judge(docs: DataFrame, keep: list[str], names: dict[str, str], max_entries: int) -> DataFrame:

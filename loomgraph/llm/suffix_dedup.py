@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .textkit import blocks, buffers, mix, powers, prefix_hash, span_hash
+from .workers import tidy
 
 WIDTH, GRAM = 50, 16
 REACH = WIDTH - GRAM + 1
@@ -91,7 +92,7 @@ def _rows(docs: DataFrame) -> DataFrame:
                 row, h, g, _, _ = runs(*buffers(block.column(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g), block.column(0).take(pa.array(row))], ["h", "g", "doc_id"])
 
-    return docs.mapInArrow(run, "h long, g long, doc_id long")
+    return docs.mapInArrow(tidy(run), "h long, g long, doc_id long")
 
 
 def _tagged(values: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -133,7 +134,7 @@ def _located(docs: DataFrame) -> DataFrame:
                     sent[i].append({"h": k, "lows": places, "bytes": raw[a : b + WIDTH]})
                 yield pa.RecordBatch.from_arrays([block.column(0), pa.array(spans, pa.list_(pa.int32())), pa.array(sent, pa.list_(pa.struct([("h", pa.int64()), ("lows", pa.list_(pa.int32())), ("bytes", pa.binary())])))], ["doc_id", "spans", "sent"])
 
-    return docs.select("doc_id", "text", "full", "send").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", "full", "send").mapInArrow(tidy(run), schema)
 
 
 def _united(start: np.ndarray, end: np.ndarray) -> list[int]:
@@ -339,7 +340,7 @@ def _compared(sent: DataFrame) -> DataFrame:
             yield shard(True)
 
     ordered = sent.select("h", "doc_id", "lows", "bytes").repartition("h").sortWithinPartitions("h", "doc_id", "lows")
-    return ordered.mapInArrow(run, "doc_id long, spans array<int>")
+    return ordered.mapInArrow(tidy(run), "doc_id long, spans array<int>")
 
 
 def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -374,7 +375,7 @@ def _digest(rows: DataFrame) -> DataFrame:
                 check.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(check)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("doc_id", "text", "spans").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _flagged(named: DataFrame) -> DataFrame:

@@ -45,6 +45,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0][:n], _POW[1][:n]
 
 
+def forget_powers() -> None:
+    _POW.clear()
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Running polynomial sums; see ``span_hash``."""
     out = np.zeros(data.size + 1, _U)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .textkit import HashArray, blocks, buffers, per_row, prefix_hash, span_hash
+from .workers import held, tidy
 
 END = 0
 SHARD = "part int, shard int, part_start long, n_ids long, payload binary"
@@ -340,16 +341,12 @@ class Encoder:
         return out, counts + 1
 
 
-_ENCODERS: dict[tuple[int, bool], Encoder] = {}
+OWNER = "token_shards"
 
 
 def encoder_of(spec: str, specials: bool) -> Encoder:
     """The encoder of this worker process: it keeps known pieces from task to task."""
-    key = hash(spec), specials
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(spec, specials=specials)
-    return _ENCODERS[key]
+    return held(OWNER, (hash(spec), specials), lambda: Encoder(spec, specials=specials))
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 << 20, specials: bool = False) -> str:
@@ -374,7 +371,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 <<
             return out
 
         for batch in batches:
-            for block in blocks(batch, limit=1 << 21):
+            for block in blocks(batch, limit=1 << 19):
                 ids, counts = encoder.rows(*buffers(block.column(1)))
                 held.append((ids, counts, block.column(0).to_pylist()))
                 waiting += ids.size
@@ -386,7 +383,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 <<
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     placed = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     path = scratch.new_path(spark, "shards")
-    placed.mapInArrow(run, SHARD).write.parquet(path)
+    placed.mapInArrow(tidy(run, OWNER), SHARD).write.parquet(path)
     return path
 
 
@@ -411,7 +408,7 @@ def read_shards(spark, path: str) -> DataFrame:
                 offset = shared.value[batch.column(0)[i].as_py()] + batch.column(2)[i].as_py()
                 yield pa.RecordBatch.from_arrays([shard.doc_ids, pa.array(start + offset), pa.array(shard.counts), pa.array(check, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 << 20, specials: bool = False) -> DataFrame:
