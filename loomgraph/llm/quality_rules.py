@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scratch
-from .textkit import HashArray, Words, blocks, buffers, mix, per_row, prefix_hash, shingles, span_hash
+from .textkit import HashArray, Words, apart_hash, blocks, buffers, mix, per_row, shingles
 from .workers import tidy
 
 ORDER = 4
@@ -218,7 +218,6 @@ def probabilities(counted: DataFrame) -> DataFrame:
 def text_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """The counts of the base rules for each row of a block."""
     words = Words(data, off)
-    prefix = prefix_hash(data)
     inside = np.zeros(data.size, bool)
     lead = (data & 0xC0) != 0x80
     space = np.concatenate(([0], np.cumsum((data <= 32) & ((data == 32) | ((data >= 9) & (data <= 13))))))
@@ -236,12 +235,12 @@ def text_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     worded = (end - begin) > space[end] - space[begin]
     begin, end = begin[worded], end[worded]
     line_row = row_of(begin)
-    line = mix(span_hash(prefix, begin, end) + line_row.astype(_U))
+    line = mix(apart_hash(data, begin, end) + line_row.astype(_U))
     distinct = np.unique(line, return_index=True)[1]
     n_lines = np.bincount(line_row, minlength=off.size - 1)
     n_distinct = np.bincount(line_row[distinct], minlength=off.size - 1)
 
-    window, at = shingles(span_hash(prefix, words.start, words.end), words.doc, 3)
+    window, at = shingles(words.hashes(), words.doc, 3)
     order = np.argsort(mine := mix(window + words.doc[at].astype(_U)))
     same = mine[order][1:] == mine[order][:-1]
     twice = np.zeros(at.size, bool)

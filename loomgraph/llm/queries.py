@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hmm_scoring, mixing, near_dedup, quality_classifier, quality_rules, secrets, suffix_dedup, token_shards, url_filters
+from . import decontaminate, hmm_scoring, mixing, near_dedup, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, token_shards, url_filters
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -80,6 +80,10 @@ def op10_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read(spark, sf_dir, "pages"))
 
 
+def op11_pivot_distance_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_fingerprints(read(spark, sf_dir, "documents"), k=4, most=4, seed=42)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_markov_secrets": op1_markov_secrets,
@@ -92,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hidden_markov": op8_hidden_markov,
         "op9_min_max_hashing": op9_min_max_hashing,
         "op10_association_rules": op10_association_rules,
+        "op11_pivot_distance_tables": op11_pivot_distance_tables,
     }
 
 

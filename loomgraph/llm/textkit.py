@@ -47,6 +47,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def forget_powers() -> None:
     _POW.clear()
+    _COEF.clear()
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
@@ -62,6 +63,60 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(_U) * _U(0xA24BAED4963EE407))
 
 
+_COEF: list[np.ndarray] = []
+
+
+def coefficients(n: int) -> np.ndarray:
+    """Odd pseudo-random factors of the places in a span."""
+    if not _COEF or _COEF[0].size < n:
+        size = (n >> 18 << 18) + (1 << 18)
+        _COEF[:] = [mix(np.arange(1, size + 1, dtype=_U) * _U(0xD1342543DE82EF95)) | _U(1)]
+    return _COEF[0][:n]
+
+
+def apart_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans that do not overlap, in rising order.
+
+    Every place of a span has a random factor of its own, so that, unlike with
+    powers of one base, no construction of strings makes hashes meet: two different
+    spans meet with a chance of at most 2**-56 over the factors.
+    """
+    start, end = np.asarray(start, np.int64), np.asarray(end, np.int64)
+    longest = int((end - start).max(initial=0))
+    place = np.arange(data.size, dtype=np.int64)
+    place -= np.repeat(np.concatenate(([0], start)), np.diff(np.concatenate(([0], start, [data.size]))))
+    sums = np.zeros(data.size + 1, _U)
+    np.cumsum((data.astype(_U) + _U(1)) * coefficients(longest + 1)[np.minimum(place, longest)], out=sums[1:])
+    return mix(sums[end] - sums[start] + (end - start).astype(_U) * _U(0xA24BAED4963EE407))
+
+
+def eight(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The eight bytes from each start as one number; ``data`` reaches eight bytes beyond the last start."""
+    return np.lib.stride_tricks.sliding_window_view(data, 8)[start].view(_U)[:, 0]
+
+
+def padded(data: np.ndarray) -> np.ndarray:
+    return np.concatenate((data, np.zeros(8, np.uint8)))
+
+
+_LOW = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [_MASK], _U)
+
+
+def equal_spans(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray, most: int = 4096) -> np.ndarray:
+    """Whether ``a[at:at + size]`` and ``b[bt:bt + size]`` hold the same bytes; both are ``padded``."""
+    same = np.ones(size.size, bool)
+    for i in np.flatnonzero(size > most):
+        same[i] = np.array_equal(a[at[i] : at[i] + size[i]], b[bt[i] : bt[i] + size[i]])
+    left, done = np.flatnonzero((size > 0) & (size <= most)), 0
+    while left.size:
+        rest = np.minimum(size[left] - done, 8)
+        differ = ((eight(a, at[left] + done) ^ eight(b, bt[left] + done)) & _LOW[rest]) != 0
+        same[left[differ]] = False
+        done += 8
+        left = left[~differ & (size[left] > done)]
+    return same
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -107,7 +162,7 @@ class Words:
         self.doc = np.repeat(np.arange(off.size - 1), self.count)
 
     def hashes(self) -> np.ndarray:
-        return span_hash(prefix_hash(self.data), self.start, self.end)
+        return apart_hash(self.data, self.start, self.end)
 
 
 def shingles(words: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -16,8 +16,8 @@ null mark, uint32 number of ids.
 Cases: a null or empty text has the end id alone; null ``doc_id`` come first;
 rows of equal ``doc_id`` stand in text order; pairs of equal frequency become
 rules together, and of overlapping pairs the first is replaced; a text of any
-length stands in one shard; strings of special tokens are ordinary text unless
-``specials`` is set; an empty table gives no shard and an empty result; other
+length stands in one shard; strings of special tokens are their ids unless
+``specials`` is unset; an empty table gives no shard and an empty result; other
 columns are ignored.
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .textkit import HashArray, blocks, buffers, per_row, prefix_hash, span_hash
+from .textkit import HashArray, apart_hash, blocks, buffers, equal_spans, padded, per_row
 from .workers import held, tidy
 
 END = 0
@@ -250,11 +250,11 @@ def pieces(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Encoder:
     """The tokenizer with the ids of pieces seen before; ``most`` bounds what is held.
 
-    Strings of special tokens are ordinary text, or, with ``specials``, their ids;
-    rows that hold one are then encoded whole.
+    With ``specials`` strings of special tokens are their ids, as in the library, and
+    rows that hold one are encoded whole; otherwise they are ordinary text.
     """
 
-    def __init__(self, spec: str, most: int = 1_500_000, specials: bool = False):
+    def __init__(self, spec: str, most: int = 1_500_000, specials: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -270,6 +270,7 @@ class Encoder:
         narrow = np.uint16 if self.vocabulary <= 1 << 16 else _U32
         self.ids, self.start, self.size, self.used = np.zeros(1 << 20, narrow), np.zeros(1 << 18, _U32), np.zeros(1 << 18, _U32), 0
         self.n = 0
+        self.text, self.text_at, self.text_used = np.zeros(1 << 20, np.uint8), np.zeros(1 << 18, _U32), 0  # bytes of the pieces by number
 
     @staticmethod
     def _grown(held: np.ndarray, n: int) -> np.ndarray:
@@ -283,8 +284,9 @@ class Encoder:
             codes[left[at >= 0]] = table.values[0][at[at >= 0]]
         return codes
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> np.ndarray:
+    def _learn(self, hashes: np.ndarray | None, pieces: list[bytes]) -> np.ndarray:
         """Encode new pieces and return their numbers."""
+        texts = [x.decode("utf-8", "replace") for x in pieces]
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, lists), np.int32, len(lists))
         flat = np.fromiter(chain.from_iterable(lists), _U32, int(size.sum()))
@@ -294,7 +296,16 @@ class Encoder:
         self.ids[self.used : self.used + flat.size] = flat
         self.start[codes] = self.used + np.cumsum(size) - size
         self.size[codes] = size
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        long = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.text = self._grown(self.text, self.text_used + raw.size + 8)
+        self.text_at = self._grown(self.text_at, codes[-1] + 2 if codes.size else 0)
+        self.text[self.text_used : self.text_used + raw.size] = raw
+        self.text_at[codes + 1] = self.text_used + np.cumsum(long)
+        self.text_used += raw.size
         self.used, self.n = self.used + flat.size, self.n + size.size
+        if hashes is None:  # numbers for this block alone
+            return codes
         self.new = HashArray(np.concatenate((self.new.keys, hashes)), np.concatenate((self.new.values[0], codes)))
         if self.new.keys.size > 300_000:
             self.old = HashArray(np.concatenate((self.old.keys, self.new.keys)), np.concatenate((self.old.values[0], self.new.values[0])))
@@ -321,16 +332,21 @@ class Encoder:
         end = np.append(begin[1:], data.size)
         if begin.size:  # a piece ends with its row
             end = np.minimum(end, np.repeat(off[1:], np.diff(first)))
-        hashes, where, inverse = np.unique(span_hash(prefix_hash(data), begin, end), return_index=True, return_inverse=True)
-        if self.n + hashes.size > self.most:
+        hashes, where, inverse = np.unique(apart_hash(data, begin, end), return_index=True, return_inverse=True)
+        if self.n + hashes.size > self.most or self.text_used > 64 << 20:
             self.clear()
         codes = self._find(hashes)
         missing = np.flatnonzero(codes < 0)
+        raw = data.tobytes() if missing.size else b""
         if missing.size:
-            raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[where[missing]].tolist(), end[where[missing]].tolist(), strict=True)]
-            codes[missing] = self._learn(hashes[missing], texts)
+            codes[missing] = self._learn(hashes[missing], [raw[a:b] for a, b in zip(begin[where[missing]].tolist(), end[where[missing]].tolist(), strict=True)])
         code = codes[inverse]
+        if begin.size:  # hashes propose, bytes decide
+            long, held = end - begin, self.text_at[code].astype(np.int64)
+            other = np.flatnonzero((self.text_at[code + 1] - held != long) | ~equal_spans(padded(data), begin, self.text, held, long))
+            if other.size:
+                raw = raw or data.tobytes()
+                code[other] = self._learn(None, [raw[a:b] for a, b in zip(begin[other].tolist(), end[other].tolist(), strict=True)])
         size = self.size[code].astype(np.int64)
         ends = np.cumsum(size)
         total = int(ends[-1]) if size.size else 0
@@ -349,7 +365,7 @@ def encoder_of(spec: str, specials: bool) -> Encoder:
     return held(OWNER, (hash(spec), specials), lambda: Encoder(spec, specials=specials))
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 << 20, specials: bool = False) -> str:
+def write_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 << 20, specials: bool = True) -> str:
     """Write the shards of ``docs`` and return their path."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -411,5 +427,5 @@ def read_shards(spark, path: str) -> DataFrame:
     return shards.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 << 20, specials: bool = False) -> DataFrame:
+def token_shards(docs: DataFrame, tokenizer_path: str, shard_tokens: int = 1 << 20, specials: bool = True) -> DataFrame:
     return read_shards(docs.sparkSession, write_shards(docs, tokenizer_path, shard_tokens, specials))

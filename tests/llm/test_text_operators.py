@@ -8,10 +8,11 @@ import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontaminate, mixing, quality_rules, scratch, secrets, token_shards, url_filters
+from loomgraph.llm import decontaminate, mixing, near_dedup, quality_rules, scratch, secrets, textkit, token_shards, url_filters
 from loomgraph.llm.queries import tokenizer_path
 
 from .helpers import SCHEMA, awkward, frame, prose, rows, words
@@ -140,7 +141,6 @@ def test_token_shards(spark):
     data = awkward() + [d | {"doc_id": 50 + i} for i, d in enumerate(rows([" lead", "trail ", "a  b \n c\n\nd it's", "nb\u00a0sp \u3000 x", "é é", "<|endoftext|> x", "1 2 3 !! ??"]))]
     got = sorted(token_shards.token_shards(frame(spark, data), tokenizer_path(), 500).collect(), key=lambda r: r.start)
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     ordered = sorted(data, key=lambda d: (d["doc_id"] is not None, d["doc_id"] or 0, d["text"] or ""))
     at = 0
     for d, r in zip(ordered, got, strict=True):
@@ -150,11 +150,45 @@ def test_token_shards(spark):
     assert token_shards.token_shards(frame(spark, []), tokenizer_path()).count() == 0
     odd = ["<|endoftext|> x", "a <|endoftext|>", "one two<|endoftext|>three four <|endoftext|>", "plain words stay", "<|endoftext|>", ""]
     untouched = Tokenizer.from_file(tokenizer_path())
-    whole = token_shards.token_shards(frame(spark, rows(odd)), tokenizer_path(), specials=True).orderBy("doc_id").collect()
+    whole = token_shards.token_shards(frame(spark, rows(odd)), tokenizer_path()).orderBy("doc_id").collect()
     want = [np.array([*untouched.encode(t, add_special_tokens=False).ids, 0], "<u4") for t in odd]
     assert [(r.n_tokens, r.ids_crc32) for r in whole] == [(w.size, zlib.crc32(w.tobytes())) for w in want] and 50256 in want[0]
 
 
+def thue_morse(n, a="a", b="b"):
+    """A word of 2**n letters and its complement: powers of one base modulo 2**64 cannot tell them apart."""
+    x = [0]
+    for _ in range(n):
+        x += [1 - i for i in x]
+    return "".join((a, b)[i] for i in x), "".join((b, a)[i] for i in x)
+
+
+def test_strings_built_to_meet_stay_apart(spark):
+    from tokenizers import Tokenizer
+
+    one, two = thue_morse(12)
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    got = token_shards.token_shards(frame(spark, rows([one, two])), tokenizer_path()).orderBy("doc_id").collect()
+    want = [np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4") for t in (one, two)]
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(w.tobytes()) for w in want]
+    counts = quality_rules.quality_rules(frame(spark, rows([f"{one} x\n{two} x\n" * 1, f"{one} p q {two} p q"]))).orderBy("doc_id").collect()
+    assert [r.n_dup_lines for r in counts] == [0, 0] and [r.n_repeat_words for r in counts] == [0, 0]
+    linked = near_dedup.near_duplicates(frame(spark, rows([one, two, "plain words"])), k=2).collect()
+    assert all(r.kept for r in linked)
+
+
+def test_pieces_whose_hashes_meet_are_compared(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    monkeypatch.setattr(token_shards, "apart_hash", lambda data, start, end: (end - start).astype(np.uint64))
+    encoder = token_shards.Encoder(tokenizer.to_str())
+    texts = ["one two ten six", "a longer piece stands here", "six ten two one, shorter pieces"]
+    for _ in range(2):  # the second time the pieces are known
+        ids, counts = encoder.rows(*textkit.buffers(pa.array(texts)))
+        assert ids.tolist() == [i for t in texts for i in [*tokenizer.encode(t, add_special_tokens=False).ids, 0]] and counts.sum() == ids.size
+
+
 def test_no_frequent_pair_is_left():
     rng = np.random.default_rng(9)
     ids = np.concatenate([rng.permutation(np.repeat(np.arange(900), 20)), np.tile(np.arange(64), 80), np.zeros(4096, int)]).astype(np.uint32)
