@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, hmm_scoring, mixing, near_dedup, quality_classifier, quality_rules, secrets, simhash, suffix_dedup, token_shards, url_filters
+from . import decontaminate, hmm_scoring, mixing, near_dedup, quality_classifier, quality_rules, ranked_search, secrets, simhash, suffix_dedup, token_shards, url_filters
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -84,6 +84,26 @@ def op11_pivot_distance_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_fingerprints(read(spark, sf_dir, "documents"), k=4, most=4, seed=42)
 
 
+def op12_hierarchical_max_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), most=20)
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL),
+d AS (SELECT r, doc_id, len(ts) AS n FROM t WHERE len(ts) > 0),
+s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_all FROM d),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM t) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, n_docs),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+f AS (SELECT item_id, d.doc_id, p.r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_all)))) AS BIGINT) AS score
+  FROM i JOIN p USING (term) JOIN w USING (term) JOIN d ON d.r = p.r, s GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM
+  (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f WHERE score > 0)
+WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_markov_secrets": op1_markov_secrets,
@@ -97,8 +117,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_min_max_hashing": op9_min_max_hashing,
         "op10_association_rules": op10_association_rules,
         "op11_pivot_distance_tables": op11_pivot_distance_tables,
+        "op12_hierarchical_max_tree": op12_hierarchical_max_tree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_min_max_hashing": OP9_SQL}
+    return {"op9_min_max_hashing": OP9_SQL, "op12_hierarchical_max_tree": OP12_SQL}

@@ -1,16 +1,17 @@
 """SimHash links and ranked search against plain versions."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
-from loomgraph.llm import simhash
+from loomgraph.llm import ranked_search, simhash
 
-from .helpers import LOW, SCHEMA, awkward, frame, prose, rows, words
+from .helpers import LOW, awkward, frame, prose, rows, words
 
 
 def plain_fingerprint(text, k=4):
@@ -107,3 +108,64 @@ def test_pivot_table_discards_only_far_pairs():
     a, b = simhash.swept(f, np.zeros(f.size, np.int64), np.arange(f.size), 4)
     want = {(i, j) for i in range(f.size) for j in range(i) if int(f[i] ^ f[j]).bit_count() <= 4}
     assert {(max(x), min(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == want
+
+
+TERM = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def plain_search(docs, items, most=20):
+    terms = lambda t: Counter(TERM.findall((t or "").translate(LOW)))
+    held = [(d["doc_id"], terms(d["text"])) for d in docs]
+    held = [(i, c) for i, c in held if c]
+    n_docs, n_all = len(held), sum(sum(c.values()) for _, c in held)
+    df = Counter(t for _, c in held for t in c)
+    asked = {}
+    for i, t in items:
+        asked.setdefault(i, Counter()).update(terms(t))
+    out = []
+    for i, q in asked.items():
+        scored = []
+        for d, c in held:
+            m = 75 + 25 * sum(c.values()) * n_docs // n_all
+            score = sum(k * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m)) for t, k in q.items() if c[t])
+            if score > 0:
+                scored.append((-score, d is None, d, score))
+        out += [(i, r + 1, x[2], x[3]) for r, x in enumerate(sorted(scored, key=lambda x: (x[0], x[1], x[2] or 0))[:most])]
+    return out
+
+
+ITEMS = "item_id long, text string, doc_id long, score long"
+
+
+def test_ranked_search(spark, monkeypatch):
+    monkeypatch.setattr(ranked_search, "SHARD_ROWS", 100)
+    data = awkward() + [d | {"doc_id": 1000 + i} for i, d in enumerate(rows([prose(200 + i % 90, 5 + i % 40) for i in range(700)]))]
+    items = [(1, "loom weft WARP, loom!"), (2, prose(205, 30)), (3, None), (4, "..."), (5, "absent words only zzz"), (None, "silk mill"), (6, prose(7, 200)), (6, "twill"), (7, "ñandú é 😀")]
+    bench = spark.createDataFrame([(i, t, 5, 5) for i, t in items], ITEMS)
+    for block in (8 << 20, 1):  # one block, and one for each item
+        got = [tuple(r) for r in ranked_search.search(frame(spark, data), bench, block_bytes=block).collect()]
+        key = lambda x: (str(x[0]), x[1])
+        assert sorted(got, key=key) == sorted(plain_search(data, items), key=key)
+    assert ranked_search.search(frame(spark, []), bench).collect() == []
+    assert ranked_search.search(frame(spark, data), bench.limit(0)).collect() == []
+
+
+def test_search_opens_few_ranges_and_all_ties():
+    rng = np.random.default_rng(2)
+    n_docs, n_terms = 4096, 50
+    size = rng.integers(1, 6, n_docs)
+    first = np.concatenate(([0], np.cumsum(size)))
+    term = np.concatenate([np.sort(rng.choice(n_terms, k, False, p=np.arange(1, 51) / 1275)) for k in size])
+    tf, n = np.ones(term.size, np.int64), np.full(n_docs, 10)
+    weight = np.linspace(900, 100, n_terms).astype(np.int64)
+    tree = ranked_search.Tree(n, first, term, tf, weight, n_docs, 10 * n_docs)
+    ids = rng.permutation(n_docs).tolist()
+    for asked in (np.array([0, 1]), np.array([30, 40, 49]), np.array([5])):
+        best = []
+        opened = tree.search(asked, weight[asked], ids, best, 20)
+        impact = 10**9 // (1000 + 12 * 100)
+        scores = np.zeros(n_docs, np.int64)
+        np.add.at(scores, np.repeat(np.arange(n_docs), size), np.where(np.isin(term, asked), weight[term], 0) * impact)
+        want = sorted(((-s, i) for s, i in zip(scores.tolist(), ids, strict=True) if s))[:20]
+        assert sorted((-s, -i) for s, _, i in best) == want
+        assert asked.size > 1 or opened < 200
