@@ -10,13 +10,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
+
+@dataclass
+class Scope:
+    """The tables and broadcasts of one run; those of other runs are not its business."""
+
+    outer: Scope | None = None
+    paths: list[str] = field(default_factory=list)
+    shared: list[Broadcast] = field(default_factory=list)
+
+
 _FALLBACK: dict[str, str] = {}
-_OPEN: list[str] = []
-_SHARED: list[Broadcast] = []
+_NOW: ContextVar[Scope] = ContextVar("scope", default=Scope())
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of a batch that a Python worker is sent at once; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
@@ -36,16 +49,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was staged and shared in between, and nothing else."""
+    token = _NOW.set(Scope(_NOW.get()))
+    try:
+        yield
+    finally:
+        release(spark)
+        _NOW.reset(token)
+
+
+def new_path(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A new folder that lives as long as the scope, or, with ``outer``, as the scope around it."""
     path = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}/{name}"
-    _OPEN.append(path)
+    now = _NOW.get()
+    (now.outer if outer and now.outer else now).paths.append(path)
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+def stage(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; see ``new_path``."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_path(spark, name, outer)
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
@@ -58,13 +84,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def share(spark: SparkSession, value) -> Broadcast:
     """Broadcast a value of proven size until ``release``, and keep the batches of Python workers small."""
     small_batches(spark)
-    _SHARED.append(spark.sparkContext.broadcast(value))
-    return _SHARED[-1]
+    shared = _NOW.get().shared
+    shared.append(spark.sparkContext.broadcast(value))
+    return shared[-1]
 
 
 def forget(shared: Broadcast) -> None:
     """Destroy a broadcast whose jobs have ended."""
-    _SHARED.remove(shared)
+    _NOW.get().shared.remove(shared)
     shared.destroy()
 
 
@@ -72,28 +99,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def mark() -> tuple[int, int]:
-    return len(_OPEN), len(_SHARED)
-
-
-def release(spark: SparkSession, since: tuple[int, int] = (0, 0)) -> None:
-    """Delete the tables staged and the broadcasts shared after ``mark()`` returned ``since``."""
-    while len(_SHARED) > since[1]:
-        _SHARED.pop().destroy()
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while len(_OPEN) > since[0]:
-        path = jvm.org.apache.hadoop.fs.Path(_OPEN.pop()).getParent()
-        path.getFileSystem(conf).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def keep(path: str) -> None:
-    """Leave a path to ``drop``: ``release`` passes it over."""
-    _OPEN.remove(path)
+def release(spark: SparkSession) -> None:
+    """Delete the tables staged and the broadcasts shared in this scope."""
+    now = _NOW.get()
+    while now.shared:
+        now.shared.pop().destroy()
+    while now.paths:
+        _delete(spark, now.paths.pop())
 
 
 def drop(spark: SparkSession, path: str) -> None:
-    """Delete one path from ``new_path``."""
-    if path in _OPEN:
-        _OPEN.remove(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    """Delete one path of this scope."""
+    _NOW.get().paths.remove(path)
+    _delete(spark, path)
