@@ -3,6 +3,9 @@
 Each stage takes all documents that its predecessor kept, as reread Parquet.
 All but the last return the columns of ``documents``.
 
+``run`` gives each stage a scope of its own for its intermediate tables and
+broadcasts; what earlier runs returned is left alone.
+
 Cases: null and empty texts fail the quality rules; of rows that repeat a
 ``doc_id`` near-dedup keeps one; an empty table passes through empty.
 """
@@ -19,17 +22,6 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: No stage but the first has rows that SQL can express; see tests/llm for the brute-force versions.
 ORACLE_SQL = None
 
-_MARK: dict[str, tuple[int, int]] = {}
-
-
-def _begin(spark: SparkSession) -> None:
-    """Drop what the stage before left in the shared folder; its result is written by now."""
-    app = spark.sparkContext.applicationId
-    if app in _MARK:
-        scratch.release(spark, _MARK[app])
-    _MARK[app] = scratch.mark()
-
-
 def _with(docs: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of ``docs`` whose ``doc_id`` is in ``kept``."""
     return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*columns)
@@ -37,14 +29,13 @@ def _with(docs: DataFrame, kept: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rules and their language's perplexity band."""
-    _begin(spark)
     return quality_rules.passing(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
-    _begin(spark)
-    kept = near_dedup.near_duplicates(docs).filter("kept").select("doc_id")
+    with scratch.scope(spark):
+        kept = scratch.stage(near_dedup.near_duplicates(docs).filter("kept").select("doc_id"), "kept", outer=True)
     named = _with(docs, kept, docs.columns)
     if kept.groupBy("doc_id").count().filter("doc_id is not null and count > 1").isEmpty():
         one = named
@@ -55,19 +46,16 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
-    _begin(spark)
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them."""
-    _begin(spark)
     return mixing.mixed_rows(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each row in the token shards."""
-    _begin(spark)
     return token_shards.token_shards(docs, tokenizer_path())
 
 
@@ -85,10 +73,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for name, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
         path = scratch.new_path(spark, name)
-        out.write.parquet(path)
-        scratch.keep(path)  # outlives the release at the next stage's start
+        with scratch.scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         if before:
             scratch.drop(spark, before)
         before = path
