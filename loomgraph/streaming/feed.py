@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.engine import Engine
-from ..sources.shared import ensure_checkpoint_dir
+from ..sources.shared import shared_dir
 
 FEED = "seq long, op string, doc_id string, uri string, content string"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -61,7 +61,7 @@ def deduplicated(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 def collected(df: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a streaming plan over what is there into the shared folder and return its rows."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
     write = "overwrite" if mode == "complete" else "append"
 
     def step(batch: DataFrame, batch_id: int) -> None:
