@@ -67,6 +67,40 @@ def cumulative_histogram(values: DataFrame, edges: list[float]) -> DataFrame:
     return row.select(F.explode(pairs).alias("b")).select("b.le", "b.n")
 
 
+def bucket_counts(rows: DataFrame, by: list[str], value: str, edges: list[float]) -> DataFrame:
+    """(by…, le, n): rows of each group of at most each edge, the last edge being infinite, in one pass."""
+    every = [*edges, float("inf")]
+    counted = rows.groupBy(*by).agg(*[F.count_if(F.col(value) <= e).alias(f"_n{i}") for i, e in enumerate(edges)], F.count(value).alias(f"_n{len(edges)}"))
+    pairs = F.array(*[F.struct(F.lit(e).alias("le"), F.col(f"_n{i}").alias("n")) for i, e in enumerate(every)])
+    return counted.select(*by, F.explode(pairs).alias("_b")).select(*by, "_b.le", "_b.n")
+
+
+def bucket_quantiles(buckets: DataFrame, by: list[str], quantiles: list[float]) -> DataFrame:
+    """(by…, q, x): quantiles of cumulative buckets (by…, le, n), straight lines inside a bucket.
+
+    The first bucket starts at 0, or is a point where its edge is not above 0; what
+    lies in the infinite bucket counts as the edge before it; an empty histogram has none.
+    """
+    order = Window.partitionBy(*by).orderBy("le")
+    under, start, total = F.lag("n").over(order), F.lag("le").over(order), F.max("n").over(Window.partitionBy(*by))
+    placed = buckets.withColumns({"_under": under, "_start": start, "_total": total}).filter("_total > 0")
+    each = placed.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))).withColumn("_rank", F.col("q") * F.col("_total"))
+    held = each.filter((F.col("n") >= F.col("_rank")) & (F.col("_under").isNull() | (F.col("_under") < F.col("_rank"))))
+    low = F.coalesce("_start", F.least(F.lit(0.0), F.col("le")))
+    inside = F.coalesce(F.try_divide(F.col("_rank") - F.coalesce("_under", F.lit(0)), F.col("n") - F.coalesce("_under", F.lit(0))), F.lit(0.0))
+    point = F.col("_start").isNull() & (F.col("le") <= 0)
+    x = F.when(F.col("le") == float("inf"), F.col("_start")).when(point, F.col("le")).otherwise(low + (F.col("le") - low) * inside)
+    return held.select(*by, "q", x.alias("x"))
+
+
+def increase(samples: DataFrame, by: list[str], width: str) -> DataFrame:
+    """(by…, start, increase): growth of counters (by…, ts, value) in each window; a fall is a reset to 0."""
+    before = F.lag("value").over(Window.partitionBy(*by).orderBy("ts", "value"))
+    step = F.when(before.isNull(), 0.0).when(F.col("value") >= before, F.col("value") - before).otherwise(F.col("value"))
+    grown = samples.withColumn("_step", step)
+    return grown.groupBy(*by, F.window("ts", width).start.alias("start")).agg(F.sum("_step").alias("increase"))
+
+
 def rate(rows: DataFrame, width: str, seconds: float) -> DataFrame:
     return rows.groupBy(F.window("ts", width).start.alias("start"), "operation").agg(F.count("*").alias("n"), F.round(F.count("*") / seconds, 6).alias("rate"))
 
