@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, rules, text, vectors
-from ..operators import facts, graph, measures, ranking, versions
+from ..operators import facts, graph, measures, placement, ranking, resolver, versions
 from ..shipping import ship
 from ..sources.shared import cut
 from ..sources.snapshots import Snapshots
@@ -175,23 +175,7 @@ class Engine:
         """(entity_id, target, similarity, name_score) merges of new entities into known or earlier ones."""
         cfg = self.settings
         new = found.join(identity.select("entity_id"), "entity_id", "left_anti")
-        pool = identity.select("entity_id", "name", "embedding").unionByName(new.select("entity_id", "name", "embedding")).dropDuplicates(["entity_id"])
-        asked = new.select(F.col("entity_id").alias("q"), F.col("embedding").alias("qe"))
-        near = ranking.top_k(asked, pool.select(F.col("entity_id").alias("vec_id"), "embedding"), cfg.candidates).filter(F.col("score") >= cfg.tau_sim)
-        names = pool.select("entity_id", "name")
-        both = near.join(names.withColumnsRenamed({"entity_id": "q", "name": "a"}), "q").join(names.withColumnsRenamed({"entity_id": "vec_id", "name": "b"}), "vec_id")
-        scored = both.withColumn("name_score", vectors.name_similarity()("a", "b")).filter(F.col("name_score") >= cfg.tau_name)
-        known = identity.select(F.col("entity_id").alias("vec_id"), F.lit(True).alias("old"))
-        ranked = scored.join(known, "vec_id", "left").filter(F.col("old") | (F.col("vec_id") < F.col("q")))
-        best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.col("score") + F.col("name_score")), "vec_id"))
-        merges = cut(ranked.withColumn("rn", best).filter("rn = 1").select(F.col("q").alias("entity_id"), F.col("vec_id").alias("target"), F.col("score").alias("similarity"), "name_score"))
-        for _ in range(8):  # a target that merges itself hands on
-            onward = merges.select(F.col("entity_id").alias("target"), F.col("target").alias("next"))
-            moved = merges.join(onward, "target", "left").select("entity_id", F.coalesce("next", "target").alias("target"), "similarity", "name_score", F.col("next").isNotNull().alias("m"))
-            moved = cut(moved)
-            merges = moved.drop("m")
-            if moved.filter("m").isEmpty():
-                break
+        merges = resolver.matches(new, identity, cfg.tau_sim, cfg.tau_name, cfg.candidates)
         return new, merges
 
     def apply(self, changes: DataFrame) -> Receipt:
@@ -260,7 +244,7 @@ class Engine:
         homeless = alive.join(membership, "entity_id", "left_anti").withColumnRenamed("entity_id", "name")
         _, rel = _views(mention_now, support_now, identity_now)
         both = facts.both_ways(rel.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "support", "weight"))
-        joined_now = graph.place_all(homeless, cut(both), cut(membership.withColumnRenamed("entity_id", "name")), cfg.max_community)
+        joined_now = placement.place_all(homeless, cut(both), cut(membership.withColumnRenamed("entity_id", "name")), cfg.max_community)
         touched = cut(lost.union(new_mentions.select("entity_id")).distinct())
         old_home = self.table("membership")
         membership_now = cut(membership.unionByName(joined_now.select(F.col("name").alias("entity_id"), "comm")))
