@@ -8,6 +8,7 @@ chunk texts only.  A commit writes the next snapshot version.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,6 +71,20 @@ def _views(mention: DataFrame, support: DataFrame, identity: DataFrame) -> tuple
     return ent.join(identity, "entity_id").join(degree, "entity_id", "left").fillna(0, ["degree"]), rel
 
 
+def _one_version(f):
+    """A method that reads one version throughout; its commit fails if another writer has gone on from there."""
+
+    @wraps(f)
+    def run(self, *args, **kwargs):
+        self.state.begin()
+        try:
+            return f(self, *args, **kwargs)
+        finally:
+            self.state.end()
+
+    return run
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, model=None):
         self.spark, self.settings, self.state = ship(spark), settings or Settings(), Snapshots(spark, root)
@@ -178,6 +193,7 @@ class Engine:
         merges = resolver.matches(new, identity, cfg.tau_sim, cfg.tau_name, cfg.candidates)
         return new, merges
 
+    @_one_version
     def apply(self, changes: DataFrame) -> Receipt:
         """Apply a feed (seq, op, doc_id, uri, content): the last change of each document counts."""
         cfg, receipt = self.settings, Receipt()
@@ -270,10 +286,8 @@ class Engine:
                 "support": support_now,
                 "membership": membership_now,
                 "communities": communities,
-                "cache": self.table("cache").unionByName(fresh),
-                "resolutions": self.table("resolutions").unionByName(decisions),
-                "costs": self.table("costs").unionByName(self._priced(cost, "extract")),
-            }
+            },
+            added={"cache": fresh, "resolutions": decisions, "costs": self._priced(cost, "extract")},
         )
         return receipt
 
@@ -317,6 +331,7 @@ class Engine:
         limit = None if max_batches is None else max_batches * self.settings.dirty_batch
         return 0 if limit == 0 else self._summarise(graph.dirty_batch(self.table("communities"), limit))
 
+    @_one_version
     def _summarise(self, batch: DataFrame) -> int:
         cfg = self.settings
         batch = cut(batch.select("comm"))
@@ -340,9 +355,10 @@ class Engine:
         rows = base.select("comm", "level", pick(F.col("t"), "title"), pick(F.col("y"), "summary"), pick(keys.summary_hash(F.col("t"), F.col("y")), "summary_hash"), pick(F.lit(False), "dirty"), pick(F.lit(0).cast("long"), "dirty_seq"), pick(F.lit(None).cast("timestamp"), "dirty_since"), pick(F.col("covered"), "summarized"), pick(F.col("vec"), "embedding"))
         cost = made.select("comm", text.model_tokens(F.col("prompt")).alias("tokens_in"), text.model_tokens(F.col("y")).alias("tokens_out"), F.lit(False).alias("cache_hit"))
         n = made.count()
-        self.state.commit({"communities": rows, "costs": self.table("costs").unionByName(self._priced(cost, "summarise"))})
+        self.state.commit({"communities": rows}, added={"costs": self._priced(cost, "summarise")})
         return n
 
+    @_one_version
     def compact(self) -> dict[str, int]:
         """Cluster all entities again and keep the identity of communities that overlap most."""
         rel = self.relations()
