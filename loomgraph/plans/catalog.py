@@ -571,4 +571,4 @@ def star_idle_customers(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-from . import model_queries, report_queries  # noqa: E402, F401  register their queries here
+from . import engine_queries, model_queries, report_queries  # noqa: E402, F401  register their queries here
