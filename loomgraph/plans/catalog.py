@@ -236,14 +236,14 @@ def graph_projection(spark, d):
 
 
 @query(
-    f"WITH {REL}, seed AS (SELECT name, 1.0 / degree AS score FROM deg WHERE degree >= 50), one AS (SELECT other AS name, max(score * 0.5 * least(1.0, support / 2.0)) AS score FROM nbr JOIN seed USING (name) GROUP BY other), "
+    f"WITH {REL}, seed AS (SELECT name, 1.0 / degree AS score FROM deg WHERE degree >= 3), one AS (SELECT other AS name, max(score * 0.5 * least(1.0, support / 2.0)) AS score FROM nbr JOIN seed USING (name) GROUP BY other), "
     "s1 AS (SELECT name, max(score) AS score, min(hop) AS hop FROM (SELECT name, score, 0 AS hop FROM seed UNION ALL SELECT name, score, 1 FROM one) GROUP BY name), "
     "two AS (SELECT other AS name, max(score * 0.25 * least(1.0, support / 2.0)) AS score FROM nbr JOIN (SELECT name, score FROM s1 WHERE hop = 1) USING (name) GROUP BY other) "
     "SELECT name, round(max(score), 5) AS score, CAST(min(hop) AS BIGINT) AS hop FROM (SELECT * FROM s1 UNION ALL SELECT name, score, 2 FROM two) GROUP BY name"
 )
 def two_hop_scores(spark, d):
     rel = facts.relations(facts.support(chunks(spark, d)))
-    seeds = facts.degrees(rel).filter("degree >= 50").select("name", (1.0 / F.col("degree")).alias("score"))
+    seeds = facts.degrees(rel).filter("degree >= 3").select("name", (1.0 / F.col("degree")).alias("score"))
     return ranking.expand(seeds, facts.both_ways(rel), 2).select("name", F.round("score", 5).alias("score"), F.col("hop").cast("long").alias("hop"))
 
 
@@ -335,10 +335,10 @@ def extraction_diff(spark, d):
     return facts.diff_extractions(sup.filter("doc_id % 2 = 0"), sup.filter("doc_id % 3 = 0"), ["src", "dst"])
 
 
-@query(f"WITH {REL} SELECT DISTINCT name, other FROM nbr WHERE name IN (SELECT name FROM deg WHERE degree >= 40)")
+@query(f"WITH {REL} SELECT DISTINCT name, other FROM nbr")
 def neighbour_lookup(spark, d):
     rel = facts.relations(facts.support(chunks(spark, d)))
-    return facts.neighbours(rel, facts.degrees(rel).filter("degree >= 40"))
+    return facts.neighbours(rel, facts.degrees(rel))
 
 
 @query(f"WITH {MEN} SELECT DISTINCT name FROM men WHERE name NOT IN (SELECT name FROM men WHERE doc_id % 2 = 0)")
@@ -566,9 +566,11 @@ def star_revenue(spark, d):
     return joined.groupBy("n_name", "r_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
 
 
-@query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query("SELECT c_custkey FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-07-01') ON c_custkey = o_custkey")
 def star_idle_customers(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an order since the middle of 2000."""
+    late = table(spark, d, "orders").filter("o_orderdate >= '2000-07-01'")
+    return table(spark, d, "customer").join(late, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 from . import engine_queries, model_queries, report_queries  # noqa: E402, F401  register their queries here
