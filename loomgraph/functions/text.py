@@ -1,4 +1,4 @@
-"""Text expressions: sentences, phrases, packing, normal forms, scores."""
+"""Text expressions: sentences, phrases, normal forms, scores."""
 
 from __future__ import annotations
 
@@ -41,32 +41,6 @@ def slug(uri: Column) -> Column:
     return F.when(made != "", made).otherwise(F.substring(F.sha2(uri, 256), 1, 12))
 
 
-def _fold(units: Column, size: int, joiner: str, overlap: int = 0) -> Column:
-    """Greedy packing of units into pieces of at most ``size`` characters; a longer unit is a piece."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(acc: Column, unit: Column) -> Column:
-        held = acc["open"]
-        over = (held != "") & (F.length(held) + F.length(unit) + len(joiner) > size)
-        joined = F.when(held == "", unit).otherwise(F.concat(held, F.lit(joiner), unit))
-        if overlap:
-            tail = F.when(F.length(held) > overlap, F.substring(held, -overlap, overlap)).otherwise(held)
-            rest = F.when(F.instr(tail, " ") > 0, F.regexp_replace(tail, r"^[^ ]* ", "")).otherwise(F.lit(""))
-            fresh = F.when(rest != "", strip(F.concat(rest, F.lit(" "), unit))).otherwise(unit)
-        else:
-            fresh = unit
-        return F.struct(F.when(over, F.array_append(acc["done"], held)).otherwise(acc["done"]).alias("done"), F.when(over, fresh).otherwise(joined).alias("open"))
-
-    return F.aggregate(units, empty, step, lambda acc: F.when(acc["open"] != "", F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]))
-
-
-def pack(text: Column, size: int = 400, overlap: int = 0) -> Column:
-    """Array of chunks: paragraphs packed up to ``size`` characters, oversized paragraphs by sentences first."""
-    paragraphs = F.filter(F.transform(F.split(strip(text), r"\n[ \t\x0B\f\r]*\n\s*"), strip), lambda p: p != "")
-    units = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(_fold(F.filter(F.transform(sentences(p), strip), lambda s: s != ""), size, " "))))
-    return _fold(units, size, "\n\n", overlap)
-
-
 def normal_name(name: Column) -> Column:
     """A name in lower case without punctuation and legal suffixes."""
     bare = F.regexp_replace(F.lower(name), r"(?U)[^\w\s]", " ")

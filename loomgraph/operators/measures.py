@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import facts
+from ..functions import text
+from . import facts, versions
 
 
 def _one(*frames: DataFrame) -> DataFrame:
@@ -118,3 +119,21 @@ def share(rows: DataFrame, hit: Column, name: str, total: str) -> DataFrame:
 
 def size_stats(sizes: DataFrame) -> DataFrame:
     return sizes.agg(F.count("*").alias("communities"), F.round(F.avg("n"), 2).alias("mean_size"), F.max("n").alias("max_size"))
+
+
+def scaling_ratio(docs: DataFrame, names: list[tuple[str, str]], copies: list[int], edit) -> DataFrame:
+    """(copies, chunks, build_tokens, update_tokens, ratio) of extracting corpora of relabelled copies of ``docs`` (doc_id, text).
+
+    A build pays for each distinct sentence once.  The update edits the longest
+    document by ``edit`` and pays for the sentences that the corpus lacks.
+    """
+    cut_up = lambda df, *c: df.select(*c, F.explode(text.sentences(F.col("text"))).alias("s")).filter("s <> ''")
+    first = cut_up(versions.scale(docs, max(copies), names), "copy").groupBy("s").agg(F.min("copy").alias("c0")).withColumn("tokens", text.model_tokens(F.col("s")))
+    sizes = F.array(*[F.lit(n).cast("long") for n in copies])
+    built = first.groupBy("c0").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    built = built.select(F.explode(F.filter(sizes, lambda k: k > F.col("c0"))).alias("copies"), "n", "t").groupBy("copies").agg(F.sum("n").alias("chunks"), F.sum("t").alias("build_tokens"))
+    edited = cut_up(docs.orderBy(F.desc(F.coalesce(F.length("text"), F.lit(0))), "doc_id").limit(1).select(edit(F.col("text")).alias("text"))).distinct()
+    fresh = edited.join(first.select("s", "c0"), "s", "left").select(F.explode(F.filter(sizes, lambda k: F.col("c0").isNull() | (F.col("c0") >= k))).alias("copies"), text.model_tokens(F.col("s")).alias("u"))
+    paid = fresh.groupBy("copies").agg(F.sum("u").alias("u"))
+    spent = F.coalesce("u", F.lit(0).cast("long"))
+    return built.join(paid, "copies", "left").select("copies", "chunks", "build_tokens", spent.alias("update_tokens"), F.round(F.try_divide("build_tokens", F.when(spent > 0, spent)), 2).alias("ratio"))

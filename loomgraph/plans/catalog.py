@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import keys, text, vectors
+from ..functions import keys, packing, text, vectors
 from ..operators import facts, graph, measures, ranking, versions
 from ..streaming import feed
 
@@ -79,13 +79,45 @@ def chunk_occurrence_ids(spark, d):
     return chunks(spark, d).select("doc_id", "pos", "occ", "chunk_id")
 
 
-@query()
-def chunk_packing(spark, d):
-    """Greedy packing to 400 characters; an exact fold that has no plain SQL form."""
-    packed = table(spark, d, "documents").select("doc_id", F.posexplode(text.pack(F.col("text"), 400)).alias("pos", "chunk"))
+def _walk(src: str, joiner: str, width: int, size: int) -> str:
+    """SQL of greedy packing of ``src`` (g, i, s): each unit's next start is looked up, the starts are walked from the first on."""
+    return f"""{src}_c AS (SELECT g, i, s, sum(length(s) + {width}) OVER (PARTITION BY g ORDER BY i) AS e FROM {src}),
+{src}_n AS MATERIALIZED (SELECT a.g, a.i, greatest(a.i, coalesce(b.i, 0)) + 1 AS onward FROM {src}_c a ASOF LEFT JOIN {src}_c b ON a.g = b.g AND a.e - length(a.s) + {size} >= b.e),
+{src}_w AS (SELECT DISTINCT g, CAST(1 AS BIGINT) AS i FROM {src} UNION ALL SELECT n.g, n.onward FROM {src}_w w JOIN {src}_n n ON w.g = n.g AND w.i = n.i),
+{src}_p AS (SELECT g, n, string_agg(s, {joiner} ORDER BY i) AS s FROM (SELECT c.g, c.i, c.s, count(w.i) OVER (PARTITION BY c.g ORDER BY c.i) AS n FROM {src}_c c LEFT JOIN {src}_w w ON c.g = w.g AND c.i = w.i) GROUP BY g, n)"""
+
+
+def _packing_sql(size: int) -> str:
+    strip = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return rf"""
+WITH RECURSIVE para AS (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS j FROM
+  (SELECT doc_id, list_filter(list_transform(string_split_regex({strip('text')}, '\n\s*\n'), lambda x: {strip('x')}), lambda x: x <> '') AS l FROM documents)),
+su AS (SELECT {{'d': doc_id, 'j': j}} AS g, unnest(l) AS s, CAST(generate_subscripts(l, 1) AS BIGINT) AS i FROM
+  (SELECT doc_id, j, string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM para WHERE length(p) > {size})),
+{_walk("su", "' '", 1, size)},
+pu AS (SELECT g, s, row_number() OVER (PARTITION BY g ORDER BY j, n) AS i FROM
+  (SELECT doc_id AS g, j, 0 AS n, p AS s FROM para WHERE length(p) <= {size} UNION ALL SELECT g.d, g.j, n, s FROM su_p)),
+{_walk("pu", "chr(10) || chr(10)", 2, size)}
+SELECT g AS doc_id, n - 1 AS pos, length(s) AS n_chars, substring(sha256(s), 1, 32) AS content_hash FROM pu_p"""
+
+
+def _chunk_rows(packed: DataFrame) -> DataFrame:
     return packed.select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("chunk").cast("long").alias("n_chars"), keys.content_hash(F.col("chunk")).alias("content_hash"))
 
 
+@query(_packing_sql(400))
+def chunk_packing(spark, d):
+    """Greedy packing to 400 characters."""
+    return _chunk_rows(table(spark, d, "documents").select("doc_id", F.posexplode(packing.pack(F.col("text"), 400)).alias("pos", "chunk")))
+
+
+@query(_packing_sql(120))
+def chunk_table_function(spark, d):
+    """Packing to 120 characters as a table function of SQL."""
+    packing.register(spark)
+    return _chunk_rows(spark.sql("SELECT doc_id, pos, chunk FROM {docs}, LATERAL split_chunks(text, 120, 0)", docs=table(spark, d, "documents").select("doc_id", "text")))
+
+
 @query(
     f"WITH {CH}, sent2 AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, s AS sentence FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM "
     f"(SELECT doc_id, {CUT} AS l FROM (SELECT doc_id, 'New lead. ' || replace(text, ' the ', ' this ') AS text FROM documents))) WHERE s <> ''), "
@@ -158,6 +190,32 @@ def scaled_corpus(spark, d):
     return versions.scale(table(spark, d, "documents").select("doc_id", "text"), 3, [("The ", "The{} "), ("Licensed", "Licensed{}")])
 
 
+_SPLIT = r"string_split(regexp_replace({}, '([.!?])[ \t\n\f\r]+', '\1' || chr(1), 'g'), chr(1))"
+_TOKENS = "greatest(1, length(s) // 4)"
+
+
+@query(f"""
+WITH c AS (SELECT copy, doc_id, CASE WHEN copy = 0 THEN text ELSE replace(text, '. ', chr(64 + CAST(copy AS INTEGER)) || '. ') END AS text FROM (SELECT doc_id, text, unnest(range(8)) AS copy FROM documents)),
+f AS (SELECT s, min(copy) AS c0 FROM (SELECT copy, unnest({_SPLIT.format("text")}) AS s FROM c) WHERE s <> '' GROUP BY s),
+e AS (SELECT DISTINCT s FROM (SELECT unnest({_SPLIT.format("'New lead. ' || replace(text, ' the ', ' this ')")}) AS s FROM documents WHERE doc_id = (SELECT doc_id FROM documents ORDER BY coalesce(length(text), 0) DESC, doc_id LIMIT 1)) WHERE s <> ''),
+k AS (SELECT unnest([1, 2, 4, 8]) AS copies),
+b AS (SELECT copies, count(*) AS chunks, sum({_TOKENS}) AS build_tokens FROM k JOIN f ON c0 < copies GROUP BY copies),
+u AS (SELECT copies, sum(CASE WHEN c0 IS NULL OR c0 >= copies THEN {_TOKENS} ELSE 0 END) AS update_tokens FROM k, e LEFT JOIN f USING (s) GROUP BY copies)
+SELECT CAST(copies AS BIGINT) AS copies, chunks, CAST(build_tokens AS BIGINT) AS build_tokens, CAST(update_tokens AS BIGINT) AS update_tokens, CASE WHEN update_tokens > 0 THEN round(build_tokens / update_tokens, 2) END AS ratio FROM b JOIN u USING (copies)
+""")
+def scaling_ratio(spark, d):
+    """Extraction tokens of building 1, 2, 4 and 8 relabelled copies of the corpus against those of one edited document.
+
+    A text is paid for once, in all corpora that hold the copy where it comes first:
+    the sizes are a column, so one plan has them all.
+    """
+    return measures.scaling_ratio(table(spark, d, "documents").select("doc_id", "text"), [(". ", "{}. ")], [1, 2, 4, 8], _edited)
+
+
+def _edited(content):
+    return F.concat(F.lit("New lead. "), F.replace(content, F.lit(" the "), F.lit(" this ")))
+
+
 # ---------------------------------------------------------------- graph facts
 
 

@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import keys, rules, text, vectors
+from ..functions import keys, packing, rules, text, vectors
 from ..operators import facts, graph, measures, placement, ranking, resolver, versions
 from ..shipping import ship
 from ..sources.shared import cut
@@ -164,7 +164,7 @@ class Engine:
     def _chunked(self, docs: DataFrame) -> DataFrame:
         """(chunk_id, doc_id, text, pos, content_hash) of (doc_id, content)."""
         cfg = self.settings
-        cut_up = docs.select("doc_id", F.posexplode(text.pack(F.col("content"), cfg.chunk_size, cfg.chunk_overlap)).alias("pos", "text"))
+        cut_up = docs.select("doc_id", F.posexplode(packing.pack(F.col("content"), cfg.chunk_size, cfg.chunk_overlap)).alias("pos", "text"))
         occ = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("pos")) - 1
         return cut_up.select(keys.chunk_id(F.col("doc_id"), F.col("text"), occ).alias("chunk_id"), "doc_id", "text", F.col("pos").cast("long").alias("pos"), keys.content_hash(F.col("text")).alias("content_hash"))
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.functions import text
+from loomgraph.functions import packing
 from loomgraph.operators import graph
 from loomgraph.plans import evaluation
 from loomgraph.plans.engine import Engine
@@ -67,7 +67,7 @@ def test_dry_run_prices_an_edit(spark, engine):
 
 def test_packing(spark):
     long = "One sentence here. " * 40
-    got = spark.createDataFrame([(None,), ("",), ("a\n\nb",), (long,)], "t string").select(text.pack(F.col("t"), 100).alias("c")).collect()
+    got = spark.createDataFrame([(None,), ("",), ("a\n\nb",), (long,)], "t string").select(packing.pack(F.col("t"), 100).alias("c")).collect()
     assert got[1].c in ([], None) and got[2].c == ["a\n\nb"]
     assert all(len(c) <= 100 for c in got[3].c) and " ".join(got[3].c).split() == long.split()
 
