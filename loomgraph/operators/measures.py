@@ -137,3 +137,15 @@ def scaling_ratio(docs: DataFrame, names: list[tuple[str, str]], copies: list[in
     paid = fresh.groupBy("copies").agg(F.sum("u").alias("u"))
     spent = F.coalesce("u", F.lit(0).cast("long"))
     return built.join(paid, "copies", "left").select("copies", "chunks", "build_tokens", spent.alias("update_tokens"), F.round(F.try_divide("build_tokens", F.when(spent > 0, spent)), 2).alias("ratio"))
+
+
+def exposition(stats: DataFrame, stale: DataFrame, costs: DataFrame, prefix: str = "loomgraph_") -> DataFrame:
+    """(metric, operation, value, line): a gauge for each column of the one-row frames, counters by operation of the cost rows."""
+    rows = lambda pairs: F.explode(F.array(*[F.struct(F.lit(prefix + n).alias("metric"), c.cast("double").alias("value")) for n, c in pairs])).alias("m")
+    none = F.lit(None).cast("string").alias("operation")
+    gauges = [df.select(none, rows([(lead + c, F.col(c)) for c in df.columns])) for lead, df in (("index_", stats), ("communities_", stale))]
+    sums = costs.groupBy("operation").agg(F.count("*").alias("calls"), F.count_if("cache_hit").alias("hits"), F.sum("tokens_in").alias("i"), F.sum("tokens_out").alias("o"), F.round(F.sum("usd"), 6).alias("usd"))
+    counters = sums.select("operation", rows([("calls_total", F.col("calls")), ("cache_hits_total", F.col("hits")), ("tokens_in_total", F.col("i")), ("tokens_out_total", F.col("o")), ("usd_total", F.col("usd"))]))
+    every = gauges[0].unionByName(gauges[1]).unionByName(counters).select("m.metric", "operation", "m.value").filter("value is not null")
+    label = F.when(F.col("operation").isNull(), "").otherwise(F.concat(F.lit('{operation="'), F.replace(F.replace("operation", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"}')))
+    return every.withColumn("line", F.concat("metric", label, F.lit(" "), F.col("value").cast("string")))

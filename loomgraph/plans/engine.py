@@ -7,9 +7,10 @@ chunk texts only.  A commit writes the next snapshot version.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import wraps
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from ..functions import keys, packing, rules, text, vectors
 from ..operators import facts, graph, measures, placement, ranking, resolver, versions
 from ..shipping import ship
 from ..sources.shared import cut
-from ..sources.snapshots import Snapshots
+from ..sources.snapshots import Conflict, Snapshots
 
 
 @dataclass
@@ -46,6 +47,18 @@ class Settings:
     version: str = "v1"
 
 
+#: What stands for an entity in its vector.
+ENTITY_TEXT = ("name", "description")
+
+#: The bounds of what a question may ask for.
+BOUNDS = {"top_entities": (1, 50), "top_communities": (0, 20), "max_hops": (0, 3)}
+MODES = ("dual", "local", "global")
+
+
+class Refused(ValueError):
+    """A change that would lose provenance; nothing of it is committed."""
+
+
 @dataclass
 class Receipt:
     """What one batch of changes did."""
@@ -146,6 +159,10 @@ class Engine:
         c = self.table("costs")
         return c.groupBy("operation").agg(F.count("*").alias("calls"), F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"), F.round(F.sum("usd"), 6).alias("usd"), F.count_if("cache_hit").alias("cache_hits"))
 
+    def metrics(self) -> DataFrame:
+        """(metric, operation, value, line): counters of the cost rows and gauges of the index, in the text form that monitoring reads."""
+        return measures.exposition(self.stats(), self.staleness(), self.table("costs"))
+
     def resolutions(self, limit: int = 200) -> DataFrame:
         return self.table("resolutions").orderBy(F.desc("seq"), "chunk_id", "candidate", "type").limit(limit)
 
@@ -182,8 +199,9 @@ class Engine:
         misses = keyed.join(known, "cache_key", "left_anti").select("cache_key", "text").dropDuplicates(["cache_key"])
         fresh = cut(misses.select("cache_key", F.to_json(self._extract(F.col("text"))).alias("extraction")))
         full = keyed.join(known.unionByName(fresh), "cache_key").withColumn("x", F.from_json("extraction", rules.EXTRACTION))
-        tokens_in = text.model_tokens(F.col("text"))
-        cost = full.join(fresh.select("cache_key", F.lit(False).alias("hit")).dropDuplicates(), "cache_key", "left").select(F.lit("extract").alias("operation"), tokens_in.alias("tokens_in"), text.model_tokens(F.col("extraction")).alias("tokens_out"), F.coalesce("hit", F.lit(True)).alias("cache_hit"), "doc_id")
+        paid = keyed.join(fresh.select("cache_key"), "cache_key", "left_semi").groupBy("cache_key").agg(F.min("chunk_id").alias("payer"))
+        hit = ~F.col("chunk_id").eqNullSafe(F.col("payer"))
+        cost = full.join(paid, "cache_key", "left").select(text.model_tokens(F.col("text")).alias("tokens_in"), text.model_tokens(F.col("extraction")).alias("tokens_out"), hit.alias("cache_hit"), "doc_id")
         return full, fresh, cost
 
     def _resolved(self, found: DataFrame, identity: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -223,8 +241,8 @@ class Engine:
         raw = extracted.select("chunk_id", "doc_id", "pos", F.posexplode("x.entities").alias("at", "e"))
         found_all = raw.select("chunk_id", keys.entity_key(F.col("e.name"), F.col("e.type")).alias("entity_id"), F.lower("e.name").alias("low"), F.col("e.name").alias("name"), F.col("e.type").alias("type"), F.col("e.description").alias("description"), F.struct("doc_id", "pos", "at").alias("o"))
         found_all = cut(found_all)
-        found = found_all.groupBy("entity_id").agg(*[F.min_by(c, "o").alias(c) for c in ("name", "type", "description")])
-        found = cut(found.withColumn("embedding", self._embed(F.concat_ws(". ", "name", "description"))))
+        found = found_all.groupBy("entity_id").agg(*[F.min_by(c, "o").alias(c) for c in ("name", "type", "description")], F.min("o")["doc_id"].alias("doc_id"))
+        found = cut(found.withColumn("embedding", self._embed(F.concat_ws(". ", *ENTITY_TEXT))))
         fresh_entities, merges = self._resolved(found, identity)
         target = F.coalesce("target", "entity_id")
         placed = cut(found_all.join(merges.select("entity_id", "target"), "entity_id", "left").withColumn("final", target))
@@ -277,6 +295,7 @@ class Engine:
         placed_new = new.select("chunk_id", F.col("pos").alias("p"))
         kept = old.join(removed, "chunk_id", "left_anti").join(placed_new, "chunk_id", "left").withColumn("pos", F.coalesce("p", "pos")).drop("p")
         decisions = self._decisions(placed, merges, identity)
+        embedded = added.select("doc_id", "text").unionByName(found.select("doc_id", F.concat_ws(". ", *ENTITY_TEXT).alias("text")))
         self.state.commit(
             {
                 "documents": versions.replace_rows(docs, put_rows.unionByName(gone), ["doc_id"]),
@@ -287,17 +306,35 @@ class Engine:
                 "membership": membership_now,
                 "communities": communities,
             },
-            added={"cache": fresh, "resolutions": decisions, "costs": self._priced(cost, "extract")},
+            added={"cache": fresh, "resolutions": decisions, "costs": self._priced(cost, "extract").unionByName(self._embedded(embedded, "doc_id"))},
         )
         return receipt
 
     def _priced(self, cost: DataFrame, operation: str) -> DataFrame:
+        """Cost rows of (tokens_in, tokens_out, cache_hit, …): a hit costs nothing, embeddings have a price of their own."""
         cfg = self.settings
-        usd = F.when(F.col("cache_hit"), 0.0).otherwise((F.col("tokens_in") * cfg.price_in + F.col("tokens_out") * cfg.price_out) / 1e6)
+        price_in, price_out = (cfg.price_embed, 0.0) if operation == "embed" else (cfg.price_in, cfg.price_out)
+        usd = F.when(F.col("cache_hit"), 0.0).otherwise((F.col("tokens_in") * price_in + F.col("tokens_out") * price_out) / 1e6)
         blank = [F.lit(None).cast("string").alias(c) for c in ("doc_id", "comm") if c not in cost.columns]
         zero = lambda c: F.when(F.col("cache_hit"), F.lit(0)).otherwise(F.col(c)).cast("long").alias(c)
-        rows = cost.select("*", *blank).select(F.lit(self.state.version() + 1).cast("long").alias("seq"), F.lit(operation).alias("operation"), zero("tokens_in"), zero("tokens_out"), usd.alias("usd"), "cache_hit", "doc_id", "comm")
-        return rows
+        return cost.select("*", *blank).select(F.lit(self.state.version() + 1).cast("long").alias("seq"), F.lit(operation).alias("operation"), zero("tokens_in"), zero("tokens_out"), usd.alias("usd"), "cache_hit", "doc_id", "comm")
+
+    def _embedded(self, texts: DataFrame, by: str) -> DataFrame:
+        """Cost rows of embedding ``texts`` (``by``, text), one for each document or community."""
+        each = texts.groupBy(by).agg(F.sum(text.model_tokens(F.col("text"))).alias("tokens_in"))
+        return self._priced(each.withColumns({"tokens_out": F.lit(0), "cache_hit": F.lit(False)}), "embed")
+
+    def _charge(self, answers: DataFrame) -> None:
+        """Commit the cost of ``answers`` (question, answer, context); other writers may go first."""
+        answered = answers.select(text.model_tokens(F.concat_ws("\n", "question", "context")).alias("tokens_in"), text.model_tokens(F.col("answer")).alias("tokens_out"), F.lit(False).alias("cache_hit"))
+        asked = answers.select(F.lit(None).cast("string").alias("doc_id"), F.col("question").alias("text"))
+        for _ in range(20):
+            try:
+                self.state.commit({}, added={"costs": self._priced(answered, "answer").unionByName(self._embedded(asked, "doc_id"))})
+                return
+            except Conflict:
+                continue
+        raise Conflict("other writers went first 20 times")
 
     def _decisions(self, placed: DataFrame, merges: DataFrame, identity: DataFrame) -> DataFrame:
         known = identity.select("entity_id", F.lit(True).alias("known"))
@@ -319,6 +356,65 @@ class Engine:
         rows = joined.select("comm", F.coalesce("level", F.lit(0)).cast("long").alias("level"), F.coalesce("title", "first").alias("title"), F.coalesce("summary", F.lit("")).alias("summary"), "summary_hash", (F.coalesce("dirty", F.lit(False)) | newly).alias("dirty"), F.coalesce("dirty_seq", F.lit(0)).cast("long").alias("dirty_seq"), F.when(F.coalesce("dirty", F.lit(False)), F.col("dirty_since")).when(newly, F.current_timestamp()).alias("dirty_since"), F.coalesce("summarized", none).alias("summarized"), "embedding")
         return cut(graph.mark_dirty(cut(rows), F.col("dirty"), "comm"))
 
+    # ------------------------------------------------------------ single entities
+    @_one_version
+    def detach(self, pairs: DataFrame) -> int:
+        """Take back the mentions (entity_id, chunk_id); entities may be left without any until ``remove_entities``."""
+        gone = cut(self.table("mention").join(pairs.select("entity_id", "chunk_id").distinct(), ["entity_id", "chunk_id"], "left_semi"))
+        if gone.isEmpty():
+            return 0
+        self._changed(gone.select("entity_id"), {"mention": self.table("mention").join(gone.select("entity_id", "chunk_id"), ["entity_id", "chunk_id"], "left_anti")})
+        return gone.count()
+
+    def orphans(self) -> DataFrame:
+        """Entities that no chunk mentions."""
+        return self.table("identity").join(self.table("mention"), "entity_id", "left_anti")
+
+    @_one_version
+    def update_entities(self, changes: DataFrame) -> int:
+        """Other names and types (entity_id, name, type) of known entities; null leaves a field.
+
+        Unknown ids are passed over; of several rows of one id the greatest value of a field counts.
+        """
+        wanted = changes.groupBy("entity_id").agg(F.max("name").alias("n"), F.max("type").alias("t")).filter("n is not null or t is not null")
+        known = cut(wanted.join(self.table("identity").select("entity_id"), "entity_id", "left_semi"))
+        if known.isEmpty():
+            return 0
+        rows = self.table("identity").join(known, "entity_id", "left").withColumns({"name": F.coalesce("n", "name"), "type": F.coalesce("t", "type")}).drop("n", "t")
+        self._changed(known.select("entity_id"), {"identity": rows})
+        return known.count()
+
+    @_one_version
+    def remove_entities(self, ids: DataFrame) -> int:
+        """Remove entities (entity_id) with their relations; ``Refused``, and nothing removed, if a chunk still mentions one.
+
+        The check is a part of the rows that the commit writes, so a bad change fails before its version exists.
+        """
+        known = cut(ids.select("entity_id").distinct().join(self.table("identity").select("entity_id"), "entity_id", "left_semi"))
+        if known.isEmpty():
+            return 0
+        identity, support = self.table("identity"), self.table("support")
+        held = self.table("mention").join(known, "entity_id", "left_semi").groupBy("entity_id").agg(F.count("*").alias("n"))
+        complaint = F.raise_error(F.concat(F.lit("entity "), "entity_id", F.lit(" is still mentioned by "), "n", F.lit(" chunks")))
+        refused = held.select(complaint.cast("string").alias("entity_id"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in identity.schema if f.name != "entity_id"])
+        for end in ("source_id", "target_id"):
+            support = support.join(known.withColumnRenamed("entity_id", end), end, "left_anti")
+        tables = {"identity": identity.join(known, "entity_id", "left_anti").unionByName(refused), "support": support}
+        try:
+            self._changed(known, tables, self.table("membership").join(known, "entity_id", "left_anti"))
+        except PySparkException as e:
+            if "is still mentioned by" not in str(e):
+                raise
+            raise Refused(str(e).split("\n")[0]) from e
+        return known.count()
+
+    def _changed(self, entities: DataFrame, tables: dict[str, DataFrame], membership: DataFrame | None = None) -> None:
+        """Commit ``tables`` and mark the communities of ``entities`` dirty."""
+        touched = self.table("membership").join(entities.distinct(), "entity_id", "left_semi").select("comm").distinct()
+        tables = tables | ({} if membership is None else {"membership": membership})
+        names = self.table("identity")
+        self.state.commit(tables | {"communities": self._marked(self.table("membership") if membership is None else membership, names, touched)})
+
     def recompute(self, limit: int | None = None) -> int:
         """Summaries of the oldest dirty communities: the batch size by default, 0 for none; returns how many."""
         limit = self.settings.dirty_batch if limit is None else limit
@@ -355,7 +451,8 @@ class Engine:
         rows = base.select("comm", "level", pick(F.col("t"), "title"), pick(F.col("y"), "summary"), pick(keys.summary_hash(F.col("t"), F.col("y")), "summary_hash"), pick(F.lit(False), "dirty"), pick(F.lit(0).cast("long"), "dirty_seq"), pick(F.lit(None).cast("timestamp"), "dirty_since"), pick(F.col("covered"), "summarized"), pick(F.col("vec"), "embedding"))
         cost = made.select("comm", text.model_tokens(F.col("prompt")).alias("tokens_in"), text.model_tokens(F.col("y")).alias("tokens_out"), F.lit(False).alias("cache_hit"))
         n = made.count()
-        self.state.commit({"communities": rows}, added={"costs": self._priced(cost, "summarise")})
+        vectors_cost = self._embedded(made.select("comm", F.concat_ws("\n", "t", "y").alias("text")), "comm")
+        self.state.commit({"communities": rows}, added={"costs": self._priced(cost, "summarise").unionByName(vectors_cost)})
         return n
 
     @_one_version
@@ -381,9 +478,26 @@ class Engine:
         return {"before": before, "after": after, "moved": moved}
 
     # ------------------------------------------------------------ questions
-    def query(self, questions: DataFrame, mode: str = "dual") -> DataFrame:
-        """(question, answer, citations, stale_communities, context) of each question, all in one plan."""
-        cfg = self.settings
+    def query(self, questions: DataFrame, mode: str = "dual", metered: bool = True, **limits: int) -> DataFrame:
+        """(question, answer, citations, stale_communities, context) of each question, all in one plan.
+
+        ``limits`` are ``top_entities``, ``top_communities`` and ``max_hops`` within ``BOUNDS``,
+        by default those of the settings; others, and other modes, raise ``ValueError``.
+        What the answers cost is committed, unless not ``metered``.
+        """
+        if mode not in MODES:
+            raise ValueError(f"mode is one of {', '.join(MODES)}")
+        for name, value in limits.items():
+            low, high = BOUNDS.get(name, (0, -1))
+            if not isinstance(value, int) or not low <= value <= high:
+                raise ValueError(f"{name}: {value!r} is not within {BOUNDS}")
+        answers = cut(self._answered(questions, mode, replace(self.settings, **limits)))
+        if metered and not answers.isEmpty():
+            self._charge(answers)
+        return answers
+
+    @_one_version
+    def _answered(self, questions: DataFrame, mode: str, cfg: Settings) -> DataFrame:
         asked = cut(questions.select("question").distinct().withColumn("qe", self._embed("question")))
         ask = asked.select(F.col("question").alias("q"), "qe")
         lines = []

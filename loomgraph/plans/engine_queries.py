@@ -31,15 +31,20 @@ _KEY = lambda n: f"substring(sha256(lower({n}) || '|concept'), 1, 24)"  # noqa:
 _STRIP = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
-@query(rf"""
-WITH t AS (SELECT concat(conv_id, '-', turn) AS doc_id, role, CASE role WHEN 'assistant' THEN text || ' Edited Twice.' ELSE text END AS content, text FROM conversations),
-p AS (SELECT doc_id, i, unnest(l) AS para, generate_subscripts(l, 1) AS j FROM (SELECT doc_id, 1 AS i, string_split_regex({_STRIP('content')}, '\n[ \t\x0B\f\r]*\n\s*') AS l FROM t WHERE role <> 'user')),
+def _facts_sql(content: str, where: str) -> str:
+    """CTEs of documents t, chunks ch, phrases n, mentions men and support sup of the turns that ``where`` keeps."""
+    return rf"""
+WITH t AS (SELECT concat(conv_id, '-', turn) AS doc_id, role, {content} AS content, text FROM conversations),
+p AS (SELECT doc_id, i, unnest(l) AS para, generate_subscripts(l, 1) AS j FROM (SELECT doc_id, 1 AS i, string_split_regex({_STRIP('content')}, '\n[ \t\x0B\f\r]*\n\s*') AS l FROM t WHERE {where})),
 u AS (SELECT doc_id, j, unnest(l) AS s, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, j, CASE WHEN length(para) <= 1 THEN [para] ELSE string_split(regexp_replace(para, '([.!?])[ \t\n\f\r]+', '\1' || chr(1), 'g'), chr(1)) END AS l FROM (SELECT doc_id, j, {_STRIP('para')} AS para FROM p))),
 c AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id, s ORDER BY j, k) - 1 AS occ FROM (SELECT doc_id, j, k, {_STRIP('s')} AS s FROM u) WHERE s <> ''),
 ch AS (SELECT doc_id, s, concat(doc_id, '::', substring(sha256(s), 1, 16), CASE WHEN occ > 0 THEN '::' || occ ELSE '' END) AS chunk_id FROM c),
 n AS (SELECT chunk_id, regexp_extract_all(s, {P}) AS l FROM ch),
 men AS (SELECT DISTINCT {_KEY('name')} AS entity_id, chunk_id FROM (SELECT chunk_id, unnest(l) AS name FROM n)),
-sup AS (SELECT DISTINCT substring(sha256(concat_ws('|', a, b, 'related_to')), 1, 24) AS relation_id, chunk_id FROM (SELECT chunk_id, {_KEY('l[i]')} AS a, {_KEY('l[i + 1]')} AS b FROM (SELECT chunk_id, l, unnest(range(1, len(l))) AS i FROM n)) WHERE a <> b)
+sup AS (SELECT DISTINCT substring(sha256(concat_ws('|', a, b, 'related_to')), 1, 24) AS relation_id, chunk_id FROM (SELECT chunk_id, {_KEY('l[i]')} AS a, {_KEY('l[i + 1]')} AS b FROM (SELECT chunk_id, l, unnest(range(1, len(l))) AS i FROM n)) WHERE a <> b)"""
+
+
+@query(_facts_sql("CASE role WHEN 'assistant' THEN text || ' Edited Twice.' ELSE text END", "role <> 'user'") + """
 SELECT 'document' AS kind, doc_id AS key, CASE role WHEN 'user' THEN 'deleted' ELSE 'active' END AS value, CASE role WHEN 'assistant' THEN 2 ELSE 1 END AS n FROM t
 UNION ALL SELECT 'chunk', chunk_id, substring(sha256(s), 1, 32), 1 FROM ch
 UNION ALL SELECT 'entity', entity_id, min(chunk_id), count(*) FROM men GROUP BY entity_id
@@ -68,3 +73,21 @@ def engine_under_change(spark, d):
     homeless = engine.table("mention").join(engine.table("membership"), "entity_id", "left_anti").agg(F.countDistinct("entity_id").alias("n")).select(F.lit("homeless").alias("kind"), F.lit("entities").alias("key"), none.alias("value"), "n")
     report = engine.integrity().select(F.lit("integrity").alias("kind"), F.lit("ok").alias("key"), F.col("ok").cast("string").alias("value"), (F.col("orphans") + F.col("unsupported") + F.col("ghosts") + F.col("dangling")).alias("n"))
     return documents.unionByName(chunks).unionByName(entities).unionByName(relations).unionByName(homeless).unionByName(report)
+
+
+_PAID = "greatest(1, length({}) // 4)"
+
+
+@query(_facts_sql("text", "true") + f""",
+x AS (SELECT count(*) AS calls, count(*) - count(DISTINCT s) AS hits FROM ch),
+y AS (SELECT sum({_PAID.format("s")}) AS paid FROM (SELECT DISTINCT s FROM ch)),
+v AS (SELECT sum({_PAID.format("s")}) AS chunks FROM ch),
+w AS (SELECT sum(greatest(1, (2 * size + 2) // 4)) AS names FROM (SELECT max(length(name)) AS size FROM (SELECT chunk_id, unnest(l) AS name FROM n) GROUP BY lower(name)))
+SELECT 'extract' AS operation, CAST(hits AS BIGINT) AS cache_hits, CAST(paid AS BIGINT) AS tokens_in FROM x, y
+UNION ALL SELECT 'embed', 0, CAST(chunks + names AS BIGINT) FROM v, w
+""")
+def metered_build(spark, d):
+    """Cost rows of adding all turns: a text is extracted once and then a hit, chunks and entities are embedded."""
+    engine = Engine(spark, f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}", Settings(chunk_size=1, tau_sim=2.0, max_community=24), model=phrase_model)
+    engine.apply(_feed(spark, d).select("seq", F.lit("add").alias("op"), "doc_id", "uri", "content"))
+    return engine.table("costs").groupBy("operation").agg(F.count_if("cache_hit").alias("cache_hits"), F.sum("tokens_in").alias("tokens_in"))

@@ -57,7 +57,8 @@ def test_life_of_an_index(spark, engine):
     # A second compaction moves nothing.
     engine.compact()
     assert engine.compact()["moved"] == 0
-    assert engine.costs().count() == 2 and engine.resolutions().count() > 0
+    assert {r.operation for r in engine.costs().collect()} == {"extract", "embed", "summarise", "answer"}
+    assert engine.resolutions().count() > 0
 
 
 def test_dry_run_prices_an_edit(spark, engine):
