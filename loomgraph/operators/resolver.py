@@ -18,6 +18,18 @@ def candidates(new: DataFrame, known: DataFrame, most: int, tau_sim: float) -> D
     return near.filter(F.col("score") >= tau_sim).select("q", "vec_id", "score")
 
 
+def _pairs(new: DataFrame, known: DataFrame, tau_sim: float, tau_name: float, most: int) -> DataFrame:
+    """(q, vec_id, score, name_score): the candidates that meet both thresholds, by the best name or alias."""
+    near = candidates(new, known, most, tau_sim)
+    none = F.array().cast("array<string>")
+    titles = known.select("entity_id", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", none)))).alias("b"), F.lit(True).alias("old"))
+    titles = titles.unionByName(new.select("entity_id", F.col("name").alias("b"), F.lit(False).alias("old")))
+    both = near.join(new.select(F.col("entity_id").alias("q"), F.col("name").alias("a")), "q").join(titles.withColumnRenamed("entity_id", "vec_id"), "vec_id")
+    both = both.filter(F.col("old") | (F.col("vec_id") < F.col("q")))
+    scored = both.withColumn("name_score", vectors.name_similarity()("a", "b")).filter(F.col("name_score") >= tau_name)
+    return scored.groupBy("q", "vec_id", "score").agg(F.max("name_score").alias("name_score"))
+
+
 def matches(new: DataFrame, known: DataFrame, tau_sim: float, tau_name: float, most: int) -> DataFrame:
     """(entity_id, target, similarity, name_score): the entity that each new one of ``new`` (entity_id, name, embedding) is, if any.
 
@@ -26,14 +38,7 @@ def matches(new: DataFrame, known: DataFrame, tau_sim: float, tau_name: float, m
     two scores wins, then the greater cosine, then the smaller id.  New entities match
     known ones and new ones of smaller id; a target that itself has one hands on.
     """
-    near = candidates(new, known, most, tau_sim)
-    none = F.array().cast("array<string>")
-    titles = known.select("entity_id", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", none)))).alias("b"), F.lit(True).alias("old"))
-    titles = titles.unionByName(new.select("entity_id", F.col("name").alias("b"), F.lit(False).alias("old")))
-    both = near.join(new.select(F.col("entity_id").alias("q"), F.col("name").alias("a")), "q").join(titles.withColumnRenamed("entity_id", "vec_id"), "vec_id")
-    both = both.filter(F.col("old") | (F.col("vec_id") < F.col("q")))
-    scored = both.withColumn("name_score", vectors.name_similarity()("a", "b")).filter(F.col("name_score") >= tau_name)
-    each = scored.groupBy("q", "vec_id", "score").agg(F.max("name_score").alias("name_score"))
+    each = _pairs(new, known, tau_sim, tau_name, most)
     best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.col("score") + F.col("name_score")), F.desc("score"), "vec_id"))
     found = cut(each.withColumn("rn", best).filter("rn = 1").select(F.col("q").alias("entity_id"), F.col("vec_id").alias("target"), F.col("score").alias("similarity"), "name_score"))
     while True:  # targets are smaller or known, so chains end; each round halves them
@@ -42,3 +47,17 @@ def matches(new: DataFrame, known: DataFrame, tau_sim: float, tau_name: float, m
         found = moved.drop("m")
         if moved.filter("m").isEmpty():
             return found
+
+
+def thresholds(new: DataFrame, known: DataFrame, taus: list[float], tau_name: float, most: int) -> DataFrame:
+    """(tau_sim, merges, entities, merge_rate) of resolving ``new`` under each of ``taus``, from one search at the lowest.
+
+    The nearest of a higher threshold are those of a lower one that still meet it, so an
+    entity merges wherever its best candidate does.
+    """
+    best = _pairs(new, known, min(taus), tau_name, most).groupBy("q").agg(F.max("score").alias("score"))
+    levels = F.array(*[F.lit(float(t)) for t in taus])
+    merged = best.select(F.explode(F.filter(levels, lambda t: t <= F.col("score"))).alias("tau_sim")).groupBy("tau_sim").agg(F.count("*").alias("merges"))
+    size = new.agg(F.count("*").alias("n")).select(F.explode(levels).alias("tau_sim"), "n")
+    merges = F.coalesce("merges", F.lit(0)).cast("long")
+    return size.join(merged, "tau_sim", "left").select("tau_sim", merges.alias("merges"), (F.col("n") - merges).alias("entities"), F.coalesce(F.round(F.try_divide(merges, "n"), 4), F.lit(0.0)).alias("merge_rate"))

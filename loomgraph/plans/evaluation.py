@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, vectors
-from ..operators import ranking
+from ..operators import budgets, ranking
+from ..sources.shared import cut
 from .engine import Engine, Settings
 
 SYSTEMS = ("evolving", "full-reindex", "append-only", "flat-vector")
 
+#: Summaries recomputed a change, from none to all.
+BUDGETS: list[int | None] = [0, 1, 2, 4, 8, None]
+
 
 class System:
     """A way to keep an index under a stream of changes; ``budget`` is the summaries recomputed a change, None for all."""
@@ -97,6 +101,33 @@ def frontier(points: DataFrame) -> DataFrame:
     return ranking.frontier(points, "tokens", "staleness")
 
 
+def sweep(engine: Engine, base: DataFrame | None, steps: list[DataFrame], wanted: list[int | None] | None = None) -> DataFrame:
+    """``budgets.points`` of keeping up with ``steps`` after a clean build of ``base`` (None: of what the index holds); tokens are those spent since the build.
+
+    The index takes the changes once, with all summaries.  What each step made dirty and
+    what its summaries cost gives the queue of every budget.
+    """
+    wanted = BUDGETS if wanted is None else wanted
+    if base is not None:
+        engine.apply(base)
+    engine.drain()
+    began = engine.state.version()
+    ends, lost = [], []
+    for i, changes in enumerate(steps):
+        before = cut(engine.table("communities").select("comm"))
+        engine.apply(changes)
+        lost.append(cut(before.join(engine.table("communities"), "comm", "left_anti").select(F.lit(i).cast("long").alias("step"), F.col("comm").alias("key"), F.lit(None).cast("long").alias("tokens"))))
+        engine.drain()
+        ends.append(engine.state.version())
+    spent = engine.table("costs").filter(F.col("seq") > began).withColumn("tokens", F.col("tokens_in") + F.col("tokens_out"))
+    step = F.size(F.filter(F.array(*[F.lit(v).cast("long") for v in ends]), lambda v: v < F.col("seq"))).cast("long")
+    touches = spent.filter("comm is not null").groupBy(step.alias("step"), F.col("comm").alias("key")).agg(F.sum("tokens").alias("tokens"))
+    for rows in lost:
+        touches = touches.unionByName(rows)
+    fixed = spent.filter("comm is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first().n
+    return budgets.points(budgets.serve(cut(touches), wanted, list(range(len(steps)))), wanted, fixed)
+
+
 def update_cost(costs: DataFrame) -> DataFrame:
     """(seq, tokens, delta) of the cost rows by commit: cumulative tokens and what each commit added."""
     each = costs.groupBy("seq").agg(F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("delta"))

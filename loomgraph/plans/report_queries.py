@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, payload, vectors
-from ..operators import entities, facts, measures, placement, resolver
+from ..operators import budgets, entities, facts, measures, placement, resolver
 from ..streaming import feed, state
 from .catalog import MEN, chunks, query, table
 
@@ -115,3 +115,39 @@ def resolved_names(spark, d):
     new = made.withColumn("_rn", rank).filter("_rn = 1").drop("_rn")
     none = new.limit(0).withColumn("aliases", F.array().cast("array<string>"))
     return resolver.matches(new, none, 0.86, 0.9, 20)
+
+
+_BUDGETS = [0, 5, 50, 500, None]
+_SINCE = "coalesce(list_filter(queue, lambda q: q.key = k.key)[1].since, r.step + 1)"
+
+
+@query(f"""
+WITH RECURSIVE t AS (SELECT CAST(dense_rank() OVER (ORDER BY date_trunc('week', ts)) AS BIGINT) AS step, CAST(user_id AS VARCHAR) AS key FROM events),
+u AS (SELECT step, key, count(*) AS tokens FROM t GROUP BY ALL),
+l AS (SELECT step, list({{'key': key, 'tokens': tokens}}) AS touched FROM u GROUP BY step),
+b AS (SELECT unnest([0, 5, 50, 500, 1000000000]) AS budget),
+r AS (
+  SELECT budget, CAST(0 AS BIGINT) AS step, CAST([] AS STRUCT(since BIGINT, key VARCHAR, tokens BIGINT)[]) AS served, CAST([] AS STRUCT(since BIGINT, key VARCHAR, tokens BIGINT)[]) AS queue FROM b
+  UNION ALL
+  SELECT budget, step, list_slice(o, 1, budget), list_slice(o, budget + 1, len(o)) FROM (
+    SELECT r.budget, l.step, list_sort(list_concat(list_transform(touched, lambda k: {{'since': {_SINCE}, 'key': k.key, 'tokens': k.tokens}}), list_filter(queue, lambda q: NOT list_contains(list_transform(touched, lambda k: k.key), q.key)))) AS o
+    FROM r JOIN l ON l.step = r.step + 1)),
+s AS (SELECT budget, step, unnest(served) AS x FROM r),
+p AS (SELECT budget, (SELECT count(*) FROM s WHERE s.budget = b.budget) AS recomputed, (SELECT coalesce(sum(x.tokens), 0) FROM s WHERE s.budget = b.budget) AS tokens, (SELECT max(s.step - x.since) FROM s WHERE s.budget = b.budget) AS longest_wait, (SELECT len(queue) FROM r WHERE r.budget = b.budget ORDER BY step DESC LIMIT 1) AS dirty FROM b)
+SELECT CASE WHEN budget < 1000000000 THEN CAST(budget AS BIGINT) END AS budget, recomputed, CAST(tokens AS BIGINT) AS tokens, longest_wait, dirty, NOT EXISTS (SELECT 1 FROM p AS o WHERE o.tokens <= p.tokens AND o.dirty <= p.dirty AND (o.tokens < p.tokens OR o.dirty < p.dirty)) AS best FROM p
+""")
+def budget_sweep(spark, d):
+    """Users that the events of a week touch, recomputed under five budgets a week."""
+    week = F.dense_rank().over(Window.orderBy("week")).cast("long")
+    seen = table(spark, d, "events").groupBy(F.date_trunc("week", "ts").alias("week"), F.col("user_id").cast("string").alias("key")).agg(F.count("*").alias("tokens"))
+    weeks = seen.select("week").distinct().withColumn("step", week)
+    return budgets.points(budgets.serve(seen.join(weeks, "week"), _BUDGETS), _BUDGETS)
+
+
+@query()
+def resolution_thresholds(spark, d):
+    """Merges of the names of the documents under six thresholds."""
+    men = facts.mentions(chunks(spark, d)).select("name").distinct()
+    new = men.select(F.col("name").alias("entity_id"), "name", vectors.hash_embedding(64)("name").alias("embedding"))
+    none = new.limit(0).withColumn("aliases", F.array().cast("array<string>"))
+    return resolver.thresholds(new, none, [0.6, 0.7, 0.8, 0.86, 0.92, 0.98], 0.9, 20)
