@@ -55,6 +55,26 @@ def stream_versions(spark, d):
         spark.conf.unset(state.PROVIDER[0]) if before is None else spark.conf.set(state.PROVIDER[0], before)
 
 
+@query(
+    "WITH a AS (SELECT *, event_id + (event_id * 37) % 101 AS arrival FROM events), "
+    "x AS (SELECT user_id, event_id, ts, 0 AS again, 4 * arrival AS arrival FROM a UNION ALL SELECT user_id, event_id, ts, 1, 4 * arrival + 21 FROM a WHERE event_type = 'error'), "
+    "y AS (SELECT *, ts < coalesce(max(ts) OVER (PARTITION BY user_id ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ts) - INTERVAL '10 minutes' AS late FROM x) "
+    "SELECT CAST(user_id AS VARCHAR) AS key, event_id, arrival, CASE WHEN late THEN 'late' WHEN again = 1 THEN 'repeat' ELSE 'taken' END AS verdict FROM y"
+)
+def stream_verdicts(spark, d):
+    """Events that arrive out of order, and errors that come again, through keyed state: none is dropped."""
+    before = spark.conf.get(state.PROVIDER[0], None)
+    state.use_rocksdb(spark)
+    try:
+        events = spark.readStream.schema(feed.EVENTS).parquet(f"{d}/events*.parquet")
+        arrival = 4 * (F.col("event_id") + (F.col("event_id") * 37) % 101)
+        again = F.when(F.col("event_type") == "error", F.array(F.lit(0), F.lit(21))).otherwise(F.array(F.lit(0)))
+        rows = events.select(F.col("user_id").alias("key"), "event_id", "ts", "value", arrival.alias("first"), F.explode(again).alias("after"))
+        return feed.collected(state.judged(rows.withColumn("arrival", F.col("first") + F.col("after"))), "append").select("key", "event_id", "arrival", "verdict")
+    finally:
+        spark.conf.unset(state.PROVIDER[0]) if before is None else spark.conf.set(state.PROVIDER[0], before)
+
+
 _PLAIN = "lower(regexp_replace(name, '[_&-]+', ' ', 'g'))"
 
 

@@ -61,3 +61,42 @@ def test_keys_fall_due_once(spark, tmp_path):
     due = lambda m: start + timedelta(minutes=m)
     # the touch at 60 comes before the watermark has passed 40, so it is still of the queued change
     assert found == [("a", due(10), 2, 1, 3), ("a", due(41), 1, 6, 6), ("b", due(11), 2, 2, 4), ("z", due(40), 2, 5, 7)]
+
+
+def plain_verdicts(rows, delay):
+    out, newest, taken = [], {}, {}
+    for key, arrival, event, at, value in sorted(rows, key=lambda r: r[1:3]):
+        before = newest.get(key)
+        late = before is not None and at < before - delay
+        out.append((key, arrival, event, at, value, "late" if late else "repeat" if event in taken.get(key, ()) else "taken"))
+        if not late:
+            taken.setdefault(key, set()).add(event)
+        newest[key] = at if before is None else max(before, at)
+    return sorted(out)
+
+
+def test_late_rows_and_repeats_are_outputs(spark, tmp_path):
+    state.use_rocksdb(spark)
+    rng, start = random.Random(4), datetime(2024, 1, 1)
+    times = [start + timedelta(minutes=i + rng.randrange(-25, 5)) for i in range(90)]
+    rows = [(f"u{rng.randrange(3)}", i, i, times[i], float(i % 7)) for i in range(90)]
+    rows += [(k, n, e, at, v) for n, (k, _, e, at, v) in enumerate(rows[20:70:5], 90)]  # come again, soon or too late
+    schema = "key string, arrival long, event_id long, ts timestamp, value double"
+    nulls = [(None, 0, 0, times[0], 1.0), ("u0", 0, None, times[0], 1.0), ("u0", 0, 0, None, 1.0)]
+    rows = [(k, 2 * (e if n < 90 else e + 3) + (n >= 90), e, at, v) for n, (k, _, e, at, v) in enumerate(rows)]
+    rows.sort(key=lambda r: r[1])
+    for part in (rows[:30], rows[30:31] + nulls, rows[31:70], rows[70:]):
+        feed = [(k, n, e, at and at.isoformat(), v) for k, n, e, at, v in part]
+        spark.createDataFrame(feed, schema.replace("ts timestamp", "ts string")).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = state.judged(spark.readStream.schema(schema).json(str(tmp_path / "in")))
+        query = stream.writeStream.partitionBy("verdict").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    want = plain_verdicts(rows, timedelta(minutes=10))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.key, r.arrival, r.event_id, r.ts.replace(tzinfo=None), r.value, r.verdict) for r in got.collect()) == want
+    assert {r[-1] for r in want} == {"taken", "late", "repeat"} == {p.name.split("=")[1] for p in (tmp_path / "out").glob("verdict=*")}
+    totals = Counter()
+    for key, _, _, at, value, verdict in want:
+        totals[(key, at.hour)] += value if verdict == "taken" else 0
+    hours = spark.read.parquet(str(tmp_path / "out" / "verdict=taken")).selectExpr("key", "hour(ts) as h", "value").groupBy("key", "h").sum("value").collect()
+    assert {(r.key, r.h): r["sum(value)"] for r in hours} == {k: v for k, v in totals.items() if any(w[0] == k[0] and w[3].hour == k[1] and w[-1] == "taken" for w in want)}
