@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -28,20 +29,27 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(usable, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-@lru_cache(maxsize=1 << 16)
-def _place(token: str, dim: int) -> tuple[int, float]:
+def _place(token: str, dim: int) -> int:
+    """Twice the place of a token, and one more where its sign is negative."""
     value = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
-    return value % dim, 1.0 if value >> 63 else -1.0
+    return 2 * (value % dim) + 1 - (value >> 63)
+
+
+_gram_place = lru_cache(maxsize=1 << 16)(_place)
+
+
+@lru_cache(maxsize=1 << 16)
+def _places(word: str, dim: int) -> bytes:
+    """The places of a word and of the 3-grams of the padded word; grams have a cache of their own, which rare words do not empty."""
+    padded = f" {word} "
+    return array("i", [_place(word, dim), *[_gram_place(padded[i : i + 3], dim) for i in range(len(word))]]).tobytes()
 
 
 def embed_text(text: str | None, dim: int) -> np.ndarray:
     """Signed feature hashing of words and of the 3-grams of the padded words, of length 1."""
-    out = np.zeros(dim, np.float32)
-    for word in re.findall(r"[a-z0-9]+", (text or "").lower()):
-        padded = f" {word} "
-        for token in (word, *(padded[i : i + 3] for i in range(len(word)))):
-            at, sign = _place(token, dim)
-            out[at] += sign
+    found = b"".join([_places(word, dim) for word in re.findall(r"[a-z0-9]+", (text or "").lower())])
+    n = np.bincount(np.frombuffer(found, np.intc), minlength=2 * dim).reshape(dim, 2)
+    out = (n[:, 0] - n[:, 1]).astype(np.float32)
     norm = np.linalg.norm(out)
     return out / norm if norm else out
 
