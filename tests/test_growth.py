@@ -3,8 +3,13 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
-from loomgraph.operators import ranking
+from loomgraph.functions import vectors
+from loomgraph.operators import ranking, resolver
 
 
 def plan(df) -> str:
@@ -28,3 +33,55 @@ def test_best_lines_join_no_pairs(spark, monkeypatch):
         want += [(item, c, -s) for s, c in sorted(scores)[:2] if -s >= 0.25]
     assert sorted((r.item_id, r.chunk_id, r.score) for r in got.collect()) == sorted(want)
     assert "Join" not in plan(got)
+
+
+def plain_pairs(asked, rows):
+    for label, u, ue in asked:
+        for other, v, ve in rows:
+            if label is not None and label == other and None not in (u, v) and u != v:
+                norm = math.sqrt(sum(x * x for x in ue or ())) * math.sqrt(sum(x * x for x in ve or ()))
+                usable = ue and ve and len(ue) == len(ve) and norm > 0
+                yield u, v, half_up(sum(x * y for x, y in zip(ue, ve, strict=True)) / norm if usable else 0.0)
+
+
+def test_label_pairs_are_matrix_products(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(ranking, "BLOCK_ROWS", 16)
+    rng = random.Random(4)
+    vector = lambda: rng.choice([None, [], [0.0, 0.0]]) if rng.random() < 0.1 else [rng.uniform(-1, 1) for _ in range(rng.choice([2, 2, 3]))]
+    rows = [(rng.choice(["a", "b", None]), i % 70 if i < 79 else None, vector()) for i in range(80)]
+    asked = [r for i, r in enumerate(rows) if i % 4 == 0]
+    given = spark.createDataFrame(asked, "label string, u long, ue array<double>"), spark.createDataFrame(rows, "label string, v long, ve array<double>")
+    want = sorted(plain_pairs(asked, rows))
+    got = ranking.label_pairs(*given, 0.3)
+    assert sorted(tuple(r) for r in got.collect()) == [p for p in want if p[2] >= 0.3]
+    counted = ranking.label_histogram(*given, 5)
+    buckets = [min(4, max(0, math.floor(s * 5))) for _, _, s in want]
+    assert sorted(tuple(r) for r in counted.collect()) == [(b, buckets.count(b)) for b in sorted(set(buckets))]
+    assert "Join" not in plan(got) + plan(counted)
+
+
+def test_grams_of_a_known_word_are_not_placed_again():
+    vectors._places.cache_clear()
+    vectors._gram_place.cache_clear()
+    once, often = vectors.embed_text("loom", 64), vectors.embed_text("Loom, " * 500, 64)
+    assert abs(once - often).max() < 1e-6
+    info = vectors._gram_place.cache_info()
+    assert info.hits + info.misses == 4
+
+
+def test_nothing_is_searched_above_every_cosine(spark, monkeypatch):
+    new = spark.createDataFrame([("a", "Silk", [1.0, 0.0]), ("b", "Silk", [1.0, 0.0])], "entity_id string, name string, embedding array<double>")
+    known = new.withColumn("aliases", F.array().cast("array<string>"))
+    monkeypatch.setattr(ranking, "top_k", lambda *a, **k: pytest.fail("searched"))
+    assert resolver.candidates(new, known, 20, 2.0).isEmpty() and resolver.matches(new, known, 2.0, 0.9, 20).isEmpty()
+
+
+def test_top_k_sorts_only_where_more_than_k_are_left(spark, monkeypatch):
+    sorted_rows, partition = [], np.partition
+    monkeypatch.setattr(ranking.np, "partition", lambda a, *x, **y: sorted_rows.append(len(a)) or partition(a, *x, **y))
+    ids, unit = pa.array(range(64)), np.eye(64)
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(unit.tolist())], ["vec_id", "embedding"])
+    queries = pa.table({"q": ids, "qe": pa.array(unit.tolist())})
+    out = list(ranking._nearest(type("Shared", (), {"value": queries}), 5, False, 0.5)(iter([batch])))
+    assert sum(b.num_rows for b in out) == 64 and sum(sorted_rows) == 0
