@@ -6,7 +6,7 @@ that an entity that a third of all chunks mention is spread like any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,13 @@ def retained(descriptions: DataFrame, removed: DataFrame) -> DataFrame:
     return descriptions.join(removed.select("chunk_id").distinct(), "chunk_id", "left_anti")
 
 
-def visible(descriptions: DataFrame) -> DataFrame:
-    """(entity, description): the longest of each entity, of equal ones the first inserted."""
-    return descriptions.groupBy("entity").agg(F.max_by("description", F.struct(F.length("description"), -F.col("seq"))).alias("description"))
+def visible(descriptions: DataFrame, size: Column | None = None, *also: Column) -> DataFrame:
+    """(entity, description, also…): the longest of each entity, of equal ones the first inserted, and other aggregates.
+
+    ``size`` is the length of a description that is not a text, such as a key that stands for one.
+    """
+    longest = F.struct(F.length("description") if size is None else size, -F.col("seq"))
+    return descriptions.groupBy("entity").agg(F.max_by("description", longest).alias("description"), *also)
 
 
 def merged(descriptions: DataFrame, into: DataFrame) -> DataFrame:

@@ -25,10 +25,10 @@ def phrase_rows(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id", "source", "chunk_id", "sentence", F.posexplode(text.phrases(F.col("sentence"))).alias("at", "name"))
 
 
-def mentions(chunks: DataFrame) -> DataFrame:
-    """(name, chunk_id, doc_id, source, description): one row for each entity and chunk."""
-    rows = chunks.select("doc_id", "source", "chunk_id", F.col("sentence").alias("description"), F.explode(F.array_distinct(text.phrases(F.col("sentence")))).alias("name"))
-    return rows.select("name", "chunk_id", "doc_id", "source", "description")
+def mentions(chunks: DataFrame, *also: str) -> DataFrame:
+    """(name, chunk_id, doc_id, source, description, also…): one row for each entity and chunk."""
+    rows = chunks.select("doc_id", "source", "chunk_id", *also, F.col("sentence").alias("description"), F.explode(F.array_distinct(text.phrases(F.col("sentence")))).alias("name"))
+    return rows.select("name", "chunk_id", "doc_id", "source", "description", *also)
 
 
 def support(chunks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, payload, vectors
 from ..operators import budgets, entities, facts, measures, placement, resolver
+from ..sources.shared import cut
 from ..streaming import feed, state
 from .catalog import MEN, chunks, query, table
 
@@ -88,18 +89,17 @@ _PLAIN = "lower(regexp_replace(name, '[_&-]+', ' ', 'g'))"
 )
 def merged_entities(spark, d):
     """Names alike but for case, ``_``, ``&`` and ``-`` folded into the smallest: mentions, aliases and the visible description."""
-    ch = chunks(spark, d)
-    men = facts.mentions(ch).join(ch.select("chunk_id", "pos"), "chunk_id")
-    rows = men.select(F.col("name").alias("entity"), "chunk_id", "description", (F.col("doc_id") * (1 << 32) + F.col("pos")).alias("seq"))
-    names = rows.select("entity").distinct().select("entity", F.col("entity").alias("name"), F.array().cast("array<string>").alias("aliases"))
+    men = facts.mentions(chunks(spark, d), "pos")
+    # What is shown of a description is its hash, so sentences are not carried along.
+    key = F.struct(F.length("description").alias("size"), F.unhex(keys.content_hash(F.col("description"))).alias("hash"))
+    rows = men.select(F.col("name").alias("entity"), "chunk_id", key.alias("description"), (F.col("doc_id") * (1 << 32) + F.col("pos")).alias("seq"))
+    names = cut(men.select(F.col("name").alias("entity")).distinct()).select("entity", F.col("entity").alias("name"), F.array().cast("array<string>").alias("aliases"))
     plain = F.lower(F.regexp_replace("name", "[_&-]+", " "))
     alike = names.withColumn("_p", plain)
-    into = alike.join(alike.groupBy("_p").agg(F.min("name").alias("target")), "_p").filter("name <> target").select("entity", "target", F.lit(0).alias("at"))
-    folded = entities.merged(rows, into)
-    n = folded.groupBy("entity").agg(F.count("*").alias("n"))
+    into = cut(alike.join(alike.groupBy("_p").agg(F.min("name").alias("target")), "_p").filter("name <> target").select("entity", "target", F.lit(0).alias("at")))
     also = entities.aliases(names, into).groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set("alias")), ",").alias("aliases"))
-    shown = entities.visible(folded).select("entity", keys.content_hash(F.col("description")).alias("description_hash"))
-    return n.join(shown, "entity").join(also, "entity", "left").fillna("", ["aliases"])
+    shown = entities.visible(entities.merged(rows, into), F.col("description.size"), F.count("*").alias("n"))
+    return shown.select("entity", "n", F.lower(F.hex("description.hash")).alias("description_hash")).join(also, "entity", "left").fillna("", ["aliases"])
 
 
 _DAMAGED = "CASE event_id % 5 WHEN 1 THEN 'Here it is: ' || props || ' Done.' WHEN 2 THEN substring(props, 1, length(props) - 1) WHEN 3 THEN props || ' and }' WHEN 4 THEN NULL ELSE props END"

@@ -8,8 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.functions import vectors
-from loomgraph.operators import ranking, resolver
+from loomgraph.functions import packing, rules, vectors
+from loomgraph.operators import entities, measures, ranking, resolver
 
 
 def plan(df) -> str:
@@ -85,3 +85,31 @@ def test_top_k_sorts_only_where_more_than_k_are_left(spark, monkeypatch):
     queries = pa.table({"q": ids, "qe": pa.array(unit.tolist())})
     out = list(ranking._nearest(type("Shared", (), {"value": queries}), 5, False, 0.5)(iter([batch])))
     assert sum(b.num_rows for b in out) == 64 and sum(sorted_rows) == 0
+
+
+def test_descriptions_may_travel_as_keys(spark):
+    rows = spark.createDataFrame([("a", "c1", (3, "x"), 1), ("a", "c2", (5, "y"), 2), ("b", "c2", (5, "y"), 3)], "entity string, chunk_id string, description struct<size: int, hash: string>, seq long")
+    into = spark.createDataFrame([("b", "a", 0)], "entity string, target string, at int")
+    shown = entities.visible(entities.merged(rows, into), F.col("description.size"), F.count("*").alias("n"))
+    assert [(r.entity, r.description.hash, r.n) for r in shown.collect()] == [("a", "y", 2)]
+
+
+def test_copied_sentences_travel_as_hashes(spark):
+    docs = spark.createDataFrame([(1, "Silk. Loom. Weft!"), (2, "Silk. ")], "doc_id long, text string")
+    got = measures.scaling_ratio(docs, [(". ", "{}. ")], [1, 2], lambda c: F.concat(F.lit("New one. "), c))
+    assert sorted((r.copies, r.chunks, r.build_tokens, r.update_tokens) for r in got.collect()) == [(1, 3, 3, 2), (2, 5, 5, 2)]
+    assert "unhex(" in plan(got) and plan(got).count("Generate explode(sequence") <= 1
+
+
+def test_sentences_without_a_verb_are_searched_once(spark):
+    said = ["Ann joined it", "It was founded and led by Bo", "ACQUIRES", "nothing", "leadsman", None]
+    kind = rules.first_case(rules.VERBS, F.col("s"))
+    got = [r.k for r in spark.createDataFrame([(s,) for s in said], "s string").select(kind.alias("k")).collect()]
+    assert got == ["works_for", "founded", "acquired", None, None, None]
+    assert r"(?iU)\b(?:acquir" in str(kind).replace("\\\\", "\\")
+
+
+def test_table_function_goes_by_rows(spark):
+    packing.register(spark)
+    made = spark.sql("SELECT pos, chunk FROM {d}, LATERAL split_chunks(text, 120, 0)", d=spark.createDataFrame([("Silk. Loom.",)], "text string"))
+    assert "ArrowEvalPythonUDTF" not in plan(made) and [tuple(r) for r in made.collect()] == [(0, "Silk. Loom.")]
