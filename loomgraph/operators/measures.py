@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import keys, text
 from . import facts, versions
 
 
@@ -125,18 +125,20 @@ def scaling_ratio(docs: DataFrame, names: list[tuple[str, str]], copies: list[in
     """(copies, chunks, build_tokens, update_tokens, ratio) of extracting corpora of relabelled copies of ``docs`` (doc_id, text).
 
     A build pays for each distinct sentence once.  The update edits the longest
-    document by ``edit`` and pays for the sentences that the corpus lacks.
+    document by ``edit`` and pays for the sentences that the corpus lacks.  Sentences
+    travel as their hashes, of the length of a content key, not as texts.
     """
-    cut_up = lambda df, *c: df.select(*c, F.explode(text.sentences(F.col("text"))).alias("s")).filter("s <> ''")
-    first = cut_up(versions.scale(docs, max(copies), names), "copy").groupBy("s").agg(F.min("copy").alias("c0")).withColumn("tokens", text.model_tokens(F.col("s")))
+    cut_up = lambda df, *c: df.select(*c, F.explode(text.sentences(F.col("text"))).alias("s")).filter("s <> ''").select(*c, F.unhex(keys.content_hash(F.col("s"))).alias("s"), text.model_tokens(F.col("s")).alias("tokens"))
+    first = cut_up(versions.scale(docs, max(copies), names), F.col("copy")).groupBy("s").agg(F.min("copy").alias("c0"), F.max("tokens").alias("tokens"))
     sizes = F.array(*[F.lit(n).cast("long") for n in copies])
-    built = first.groupBy("c0").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
-    built = built.select(F.explode(F.filter(sizes, lambda k: k > F.col("c0"))).alias("copies"), "n", "t").groupBy("copies").agg(F.sum("n").alias("chunks"), F.sum("t").alias("build_tokens"))
     edited = cut_up(docs.orderBy(F.desc(F.coalesce(F.length("text"), F.lit(0))), "doc_id").limit(1).select(edit(F.col("text")).alias("text"))).distinct()
-    fresh = edited.join(first.select("s", "c0"), "s", "left").select(F.explode(F.filter(sizes, lambda k: F.col("c0").isNull() | (F.col("c0") >= k))).alias("copies"), text.model_tokens(F.col("s")).alias("u"))
-    paid = fresh.groupBy("copies").agg(F.sum("u").alias("u"))
-    spent = F.coalesce("u", F.lit(0).cast("long"))
-    return built.join(paid, "copies", "left").select("copies", "chunks", "build_tokens", spent.alias("update_tokens"), F.round(F.try_divide("build_tokens", F.when(spent > 0, spent)), 2).alias("ratio"))
+    # The sentences of one document are few; of those that a corpus has, nothing is paid.
+    met = first.join(F.broadcast(edited.select("s", F.lit(True).alias("hit"))), "s", "left")
+    built = met.groupBy("c0").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.sum(F.when(F.col("hit"), F.col("tokens")).otherwise(0)).alias("known"))
+    built = built.select(F.explode(F.filter(sizes, lambda k: k > F.col("c0"))).alias("copies"), "n", "t", "known").groupBy("copies").agg(F.sum("n").alias("chunks"), F.sum("t").alias("build_tokens"), F.sum("known").alias("known"))
+    spent = F.col("every") - F.col("known")
+    paid = built.crossJoin(F.broadcast(edited.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("every"))))
+    return paid.select("copies", "chunks", "build_tokens", spent.alias("update_tokens"), F.round(F.try_divide("build_tokens", F.when(spent > 0, spent)), 2).alias("ratio"))
 
 
 def exposition(stats: DataFrame, stale: DataFrame, costs: DataFrame, prefix: str = "loomgraph_") -> DataFrame:
