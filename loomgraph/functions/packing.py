@@ -55,9 +55,12 @@ def pack(text: Column, size: int = 400, overlap: int = 0) -> Column:
     return packed(text)
 
 
-@F.udtf(returnType="pos long, chunk string", useArrow=True)
+@F.udtf(returnType="pos long, chunk string", useArrow=False)
 class SplitChunks:
-    """``split_chunks(text, size, overlap)``: a row for each chunk."""
+    """``split_chunks(text, size, overlap)``: a row for each chunk.
+
+    By rows, since Arrow would hold the texts and the chunks of a batch of ten thousand documents at once.
+    """
 
     def eval(self, text: str, size: int, overlap: int):
         yield from enumerate(pieces(text, size, overlap))
