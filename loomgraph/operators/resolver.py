@@ -14,6 +14,8 @@ def candidates(new: DataFrame, known: DataFrame, most: int, tau_sim: float) -> D
     """(q, vec_id, score): for each new entity the ``most`` nearest others, known or new, of cosine ``tau_sim`` at least."""
     pool = known.select("entity_id", "embedding").unionByName(new.select("entity_id", "embedding"))
     asked = new.select(F.col("entity_id").alias("q"), F.col("embedding").alias("qe"))
+    if tau_sim > 1:  # no cosine is that great, so there is nothing to search
+        return asked.limit(0).select("q", F.col("q").alias("vec_id"), F.lit(0.0).alias("score"))
     near = ranking.top_k(asked, pool.select(F.col("entity_id").alias("vec_id"), "embedding"), most, floor=tau_sim - 1e-4)
     return near.filter(F.col("score") >= tau_sim).select("q", "vec_id", "score")
 
