@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import packing, rules, vectors
-from loomgraph.operators import entities, measures, ranking, resolver
+from loomgraph.operators import entities, graph, measures, ranking, resolver
 
 
 def plan(df) -> str:
@@ -113,3 +113,37 @@ def test_table_function_goes_by_rows(spark):
     packing.register(spark)
     made = spark.sql("SELECT pos, chunk FROM {d}, LATERAL split_chunks(text, 120, 0)", d=spark.createDataFrame([("Silk. Loom.",)], "text string"))
     assert "ArrowEvalPythonUDTF" not in plan(made) and [tuple(r) for r in made.collect()] == [(0, "Silk. Loom.")]
+
+
+def plain_moves(links, whole, active, turns):
+    """Local moves one turn after the other, all nodes of a turn at once."""
+    load = lambda home: {h: sum(w for (a, _), w in links.items() if home[a] == h) for h in home.values()}
+    home = {a: a for a, _ in links}
+    for turn in range(turns):
+        k, loads, new = {a: sum(w for (x, _), w in links.items() if x == a) for a in home}, load(home), dict(home)
+        for a in home:
+            pull = {home[a]: 0.0}
+            for (x, b), w in links.items():
+                if x == a != b:
+                    pull[home[b]] = pull.get(home[b], 0.0) + w
+            gain = {h: round(p - k[a] * (loads[h] - (k[a] if h == home[a] else 0.0)) / whole, 9) for h, p in pull.items()}
+            to = min(gain, key=lambda h: (-gain[h], h))
+            if gain[to] > gain[home[a]] + 1e-9 and (a, turn) in active:
+                new[a] = to
+        home = new
+    return home
+
+
+@pytest.mark.parametrize("turns", [1, 5, 6])
+def test_turns_of_moves_share_a_plan_and_a_table(spark, monkeypatch, turns):
+    rng = random.Random(7)
+    edges = [(a, b, float(rng.randint(1, 4))) for a in range(40) for b in range(a + 1, 40) if rng.random() < (0.6 if a % 4 == b % 4 else 0.1)]
+    links = graph._both(spark.createDataFrame(edges, "u long, v long, w double")).unionByName(spark.createDataFrame([(3, 3, 4.0)], "a long, b long, w double"))
+    held = {(r.a, r.b): r.w for r in links.collect()}
+    nodes = spark.range(40).withColumnRenamed("id", "node")
+    active = {(r.node, t) for t in range(turns) for r in nodes.filter(graph._active(0, t)).collect()}
+    cuts, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: cuts.append(plan(df)) or cut(df))
+    got = {r.node: r.home for r in graph._settled(links, sum(held.values()), 1.0, turns).collect()}
+    assert got == plain_moves(held, sum(held.values()), active, turns)
+    assert len(cuts) <= 2 + math.ceil(turns / 2) and max(c.count("Join") for c in cuts[2:]) <= 2 * 2
