@@ -4,6 +4,8 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pandas as pd
+
 from loomgraph.streaming import state
 
 FEED = "key string, seq long, op string, content string"
@@ -48,6 +50,54 @@ def test_versions_over_restarts(spark, tmp_path):
     assert got == plain_versions(rows)
 
 
+class Kept:
+    """State of one key as a processor's handle gives it, with the calls counted."""
+
+    def __init__(self):
+        self.calls, self.value, self.items = 0, None, {}
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def _call(self, out=None):
+        self.calls += 1
+        return out
+
+    def exists(self):
+        return self._call(self.value is not None)
+
+    def get(self):
+        return self._call(self.value)
+
+    def update(self, value):
+        self.value = self._call(value)
+
+    def iterator(self):
+        return self._call(iter(list(self.items.items())))
+
+    def updateValue(self, k, v):
+        self._call(self.items.update({k: v}))
+
+    def removeKey(self, k):
+        self._call(self.items.pop(k))
+
+
+def test_versions_of_one_call_write_the_last_chunks_only():
+    kept, versions = Kept(), state.DocumentVersions()
+    versions.init(kept)
+    rows, calls, got = [("d", i, "update", None if i % 10 == 9 else f"A{i}. B{i}. C{i % 3}. C{i % 3}. D.") for i in range(48)], [], []
+    for part in (rows[:24], rows[24:47], rows[30:47], rows[47:]):
+        frames = [pd.DataFrame(p, columns=["key", "seq", "op", "content"]) for p in (part[::2], part[1::2]) if p]
+        got += [tuple(r) for f in versions.handleInputRows(("d",), iter(frames), None) for r in f.itertuples(index=False)]
+        calls.append(kept.calls - sum(calls))
+    assert sorted(got) == plain_versions(rows)
+    # the state is read, and what is left at the end written: four chunks each way at most
+    assert calls[0] <= 2 + 4 and calls[1] <= 3 + 8 and calls[2] == 1 and calls[3] <= 3 + 8
+    assert {k[0]: v[0] for k, v in kept.items.items()} == state._chunks(rows[-1][3])
+
+
 def test_keys_fall_due_once(spark, tmp_path):
     state.use_rocksdb(spark)
     start = datetime(2024, 1, 1)
