@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -68,12 +69,13 @@ EMBEDDINGS = {"hash": hash_embedding}
 _LEGAL = re.compile(LEGAL.removeprefix("(?U)"))
 
 
+@lru_cache(maxsize=1 << 16)
 def plain_name(name: str) -> str:
     return " ".join(_LEGAL.sub(" ", re.sub(r"[^\w\s]", " ", name.lower())).split())
 
 
-def name_score(a: str, b: str) -> float:
-    """1 for equal plain names, 0.95 for an acronym, otherwise the matching-blocks ratio; 0 for an empty name."""
+def name_score(a: str, b: str, floor: float = 0.0) -> float:
+    """1 for equal plain names, 0.95 for an acronym, otherwise the matching-blocks ratio; 0 for an empty name, and where the ratio is seen to stay below ``floor``."""
     pair = plain_name(a or ""), plain_name(b or "")
     if "" in pair:
         return 0.0
@@ -83,12 +85,18 @@ def name_score(a: str, b: str) -> float:
     initials = ["".join(w[0] for w in p.split()) for p in pair]
     if short[0] == initials[1] or short[1] == initials[0]:
         return 0.95
+    # Matching blocks hold no more characters than the shorter name, nor than both have.
+    size = len(pair[0]) + len(pair[1])
+    if 2.0 * min(map(len, pair)) / size < floor or 2.0 * (Counter(pair[0]) & Counter(pair[1])).total() / size < floor:
+        return 0.0
     return SequenceMatcher(None, *pair).ratio()
 
 
-def name_similarity():
+def name_similarity(floor: float = 0.0):
+    """The score of two names; what is below ``floor`` may count as 0."""
+
     @F.pandas_udf(T.DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([name_score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series([name_score(x, y, floor) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return score

@@ -28,7 +28,7 @@ def _pairs(new: DataFrame, known: DataFrame, tau_sim: float, tau_name: float, mo
     titles = titles.unionByName(new.select("entity_id", F.col("name").alias("b"), F.lit(False).alias("old")))
     both = near.join(new.select(F.col("entity_id").alias("q"), F.col("name").alias("a")), "q").join(titles.withColumnRenamed("entity_id", "vec_id"), "vec_id")
     both = both.filter(F.col("old") | (F.col("vec_id") < F.col("q")))
-    scored = both.withColumn("name_score", vectors.name_similarity()("a", "b")).filter(F.col("name_score") >= tau_name)
+    scored = both.withColumn("name_score", vectors.name_similarity(tau_name)("a", "b")).filter(F.col("name_score") >= tau_name)
     return scored.groupBy("q", "vec_id", "score").agg(F.max("name_score").alias("name_score"))
 
 

@@ -126,6 +126,13 @@ def placed_in_order(spark, d):
     return placement.place_all(new, facts.both_ways(rel), known, 200)
 
 
+def _new_names(spark, d):
+    """(names of the documents as new entities, no known ones); written once, as the resolver reads them several times."""
+    men = facts.mentions(chunks(spark, d)).select("name").distinct()
+    new = cut(men.select(F.col("name").alias("entity_id"), "name", vectors.hash_embedding(64)("name").alias("embedding")))
+    return new, new.limit(0).withColumn("aliases", F.array().cast("array<string>"))
+
+
 @query()
 def resolved_names(spark, d):
     """Which names of the documents are others under the two thresholds, by hashed embeddings of the names."""
@@ -167,7 +174,4 @@ def budget_sweep(spark, d):
 @query()
 def resolution_thresholds(spark, d):
     """Merges of the names of the documents under six thresholds."""
-    men = facts.mentions(chunks(spark, d)).select("name").distinct()
-    new = men.select(F.col("name").alias("entity_id"), "name", vectors.hash_embedding(64)("name").alias("embedding"))
-    none = new.limit(0).withColumn("aliases", F.array().cast("array<string>"))
-    return resolver.thresholds(new, none, [0.6, 0.7, 0.8, 0.86, 0.92, 0.98], 0.9, 20)
+    return resolver.thresholds(*_new_names(spark, d), [0.6, 0.7, 0.8, 0.86, 0.92, 0.98], 0.9, 20)

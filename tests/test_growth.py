@@ -77,6 +77,40 @@ def test_nothing_is_searched_above_every_cosine(spark, monkeypatch):
     assert resolver.candidates(new, known, 20, 2.0).isEmpty() and resolver.matches(new, known, 2.0, 0.9, 20).isEmpty()
 
 
+@pytest.mark.parametrize(("others", "floor", "floats"), [(True, -1.0, 256), (False, -1.0, 256), (True, 0.55, 256), (True, 0.0, 16)])
+def test_many_queries_meet_rows_that_are_read_once(spark, monkeypatch, others, floor, floats):
+    for name, size in (("BLOCK_QUERIES", 7), ("BLOCK_ROWS", 16), ("BLOCK_FLOATS", floats), ("BLOCK_HELD", 9)):
+        monkeypatch.setattr(ranking, name, size, raising=False)
+    rng = random.Random(5)
+    data = [(f"v{i:03}", [rng.choice([-1.0, 0.0, 1.0]) for _ in range(rng.choice([4, 4, 4, 3]))]) for i in range(180)]
+    data += [("none", None), ("empty", []), ("zero", [0.0] * 4)]
+    asked = [d for i, d in enumerate(data) if i % 2 or i > 176] + [("q", [1.0, 1.0, 1.0, 0.0])]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame(data, "vec_id string, embedding array<double>").repartition(3).withColumn("vec_id", counted("vec_id"))
+    got = sorted((r.q, r.rn, r.vec_id, r.score) for r in ranking.top_k(spark.createDataFrame(asked, "q string, qe array<double>"), rows, 5, others, floor).collect())
+    want, scores = [], {(u, v): s for u, v, s in plain_pairs([("", f"{q}?", e) for q, e in asked], [("", v, e) for v, e in data])}
+    for q, _ in asked:
+        best = sorted((-scores[f"{q}?", v], v) for v, _ in data if not (others and v == q) and scores[f"{q}?", v] >= floor)[:5]
+        want += [(q, i + 1, v, -s) for i, (s, v) in enumerate(best)]
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and np.allclose([g[3] for g in got], [w[3] for w in sorted(want)])
+    assert seen.value <= 3 * len(data)
+
+
+def test_a_name_score_under_the_floor_needs_no_blocks():
+    rng = random.Random(6)
+    names = ["".join(rng.choice("ab cSk") for _ in range(rng.randint(0, 14))) for _ in range(120)] + ["Silk Mill Ltd", "silk mill", "SM", ""]
+    for a in names:
+        for b in names:
+            score = vectors.name_score(a, b)
+            assert vectors.name_score(a, b, 0.9) == score or vectors.name_score(a, b, 0.9) < 0.9 > score
+
+
 def test_top_k_sorts_only_where_more_than_k_are_left(spark, monkeypatch):
     sorted_rows, partition = [], np.partition
     monkeypatch.setattr(ranking.np, "partition", lambda a, *x, **y: sorted_rows.append(len(a)) or partition(a, *x, **y))

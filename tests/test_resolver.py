@@ -7,6 +7,7 @@ import pytest
 
 from loomgraph.functions import vectors
 from loomgraph.operators import ranking, resolver
+from loomgraph.plans import report_queries
 
 
 def cosine(a, b):
@@ -73,3 +74,22 @@ def test_resolver_with_aliases(spark):
         want = plain_matches(new, known, 0.86, 0.9, most)
         assert got == want and (most < 20 or (want["m90"] == "k1" and want["m91"] == "k1" and "m92" not in want))
     assert resolver.matches(frames[0].limit(0), frames[1], 0.86, 0.9, 20).count() == 0
+
+
+@pytest.mark.parametrize("query", ["resolution_thresholds"])
+def test_names_are_taken_from_the_documents_once(spark, tmp_path, monkeypatch, query):
+    texts = [(i, t, "a") for i, t in enumerate(["at Silk Mill. The Silk Mill Ltd grew.", "Loom Works and the SILK Mill.", "Canal Traders met Canal Trader."])]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    given, kind = [], "matches" if query == "resolved_names" else "thresholds"
+    run = getattr(resolver, kind)
+    monkeypatch.setattr(resolver, kind, lambda new, *rest: given.append(new) or run(new, *rest))
+    got = {tuple(r) for r in getattr(report_queries, query)(spark, str(tmp_path)).collect()}
+    plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "embed" not in plan.replace("embedding", "")
+    pool = [(r.name, r.name, r.embedding) for r in given[0].collect()]
+    taus = [0.86] if query == "resolved_names" else [0.6, 0.7, 0.8, 0.86, 0.92, 0.98]
+    want = [plain_matches(pool, [], t, 0.9, 20) for t in taus]
+    if kind == "matches":
+        assert {(r[0], r[1]) for r in got} == set(want[0].items()) and want[0]
+    else:
+        assert got == {(t, len(w), len(pool) - len(w), round(len(w) / len(pool), 4)) for t, w in zip(taus, want, strict=True)}
