@@ -136,12 +136,7 @@ def _new_names(spark, d):
 @query()
 def resolved_names(spark, d):
     """Which names of the documents are others under the two thresholds, by hashed embeddings of the names."""
-    men = facts.mentions(chunks(spark, d)).select("name").distinct()
-    made = men.select(F.col("name").alias("entity_id"), "name", vectors.hash_embedding(64)("name").alias("embedding"))
-    rank = F.row_number().over(Window.partitionBy("entity_id").orderBy("name"))
-    new = made.withColumn("_rn", rank).filter("_rn = 1").drop("_rn")
-    none = new.limit(0).withColumn("aliases", F.array().cast("array<string>"))
-    return resolver.matches(new, none, 0.86, 0.9, 20)
+    return resolver.matches(*_new_names(spark, d), 0.86, 0.9, 20)
 
 
 _BUDGETS = [0, 5, 50, 500, None]

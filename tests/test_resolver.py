@@ -76,7 +76,7 @@ def test_resolver_with_aliases(spark):
     assert resolver.matches(frames[0].limit(0), frames[1], 0.86, 0.9, 20).count() == 0
 
 
-@pytest.mark.parametrize("query", ["resolution_thresholds"])
+@pytest.mark.parametrize("query", ["resolved_names", "resolution_thresholds"])
 def test_names_are_taken_from_the_documents_once(spark, tmp_path, monkeypatch, query):
     texts = [(i, t, "a") for i, t in enumerate(["at Silk Mill. The Silk Mill Ltd grew.", "Loom Works and the SILK Mill.", "Canal Traders met Canal Trader."])]
     spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
