@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import packing, rules, vectors
 from loomgraph.operators import entities, graph, measures, ranking, resolver
+from loomgraph.plans import catalog
 
 
 def plan(df) -> str:
@@ -61,6 +62,15 @@ def test_label_pairs_are_matrix_products(spark, monkeypatch):
     assert "Join" not in plan(got) + plan(counted)
 
 
+def test_histogram_asks_every_row_of_a_label(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [("ab"[i % 2], i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(1, 50)]
+    spark.createDataFrame(rows, "label string, vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.similarity_histogram(spark, str(tmp_path))
+    buckets = [min(4, max(0, math.floor(s * 5))) for _, _, s in plain_pairs(rows, rows)]
+    assert sorted(tuple(r) for r in got.collect()) == [(b, buckets.count(b)) for b in range(5)] and len(buckets) == 24 * 23 + 25 * 24
+
+
 def test_grams_of_a_known_word_are_not_placed_again():
     vectors._places.cache_clear()
     vectors._gram_place.cache_clear()
